@@ -35,8 +35,9 @@ def uncertainty(df: DataFrame, method: str = "entropy", *, out: str = "uncertain
     p = V.probabilities(V.as_double(F.col(posterior)))
     if method != "objectness_weighted_entropy":
         return df.withColumn(out, {"entropy": V.entropy, "margin": V.margin, "one_minus_max": V.one_minus_max}[method](p))
-    ranked = normalise(df.withColumn("_entropy", V.entropy(p)), "_entropy", "_re")
-    ranked = normalise(ranked, weight or confidence, "_rc")
+    base = df.withColumn("_entropy", V.entropy(p))
+    ranked = normalise(base, "_entropy", "_re")
+    ranked = normalise(ranked, weight or confidence, "_rc", source=df)
     return ranked.select(*df.columns, F.sqrt(F.col("_re") * F.col("_rc")).alias(out))
 
 

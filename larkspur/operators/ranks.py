@@ -29,9 +29,13 @@ def _distinct_ranks(df: DataFrame, value: str, by: Sequence[str], parts: int | N
     return ranked.join(starts, [*by, "_part"]).select(*by, "_v", (F.col("_start") + F.col("_in")).alias("_before"), "_same")
 
 
-def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """df plus zero-based ranks of value; equal values share the mean of theirs."""
-    ranks = _distinct_ranks(df, value, by).withColumnRenamed("_v", "_key")
+def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
+    """df plus zero-based ranks of value; equal values share the mean of theirs.
+
+    source, by default df, has the same values and gives the counts: pass the table that df was
+    derived from, so that a chain of ranks does not compute df again for each.
+    """
+    ranks = _distinct_ranks(df if source is None else source, value, by).withColumnRenamed("_v", "_key")
     keys = [F.col(value).eqNullSafe(F.col("_key"))]
     renamed = ranks.select(*(F.col(b).alias(f"_by_{b}") for b in by), "_key", "_before", "_same")
     on = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] + keys
@@ -40,7 +44,7 @@ def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -
     return joined.select(*df.columns, rank.alias(out))
 
 
-def normalise(df: DataFrame, value: str, out: str, method: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+def normalise(df: DataFrame, value: str, out: str, method: str = "rank", by: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """df plus value on the method's common scale; raises ValueError for an unknown method.
 
     rank and ecdf come from average_ranks; a constant pool gives 0.5 for rank and zscore_sigmoid, 1 for minmax.
@@ -49,9 +53,10 @@ def normalise(df: DataFrame, value: str, out: str, method: str = "rank", by: Seq
         raise ValueError(f"unknown normalisation {method!r}; known: {', '.join(METHODS)}")
     if method == "none":
         return df.withColumn(out, F.col(value))
-    stats = df.groupBy(*by).agg(F.count(value).cast("double").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
+    base = df if source is None else source
+    stats = base.groupBy(*by).agg(F.count(value).cast("double").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
     if method in ("rank", "ecdf"):
-        ranked = average_ranks(df, value, "_rank", by)
+        ranked = average_ranks(df, value, "_rank", by, base)
         scaled = F.when((F.col("_n") <= 1) | (F.col("_lo") == F.col("_hi")), F.lit(0.5)).otherwise(F.try_divide(F.col("_rank"), F.col("_n") - 1.0)) if method == "rank" else (F.col("_rank") + 1.0) / F.col("_n")
     else:
         ranked = df

@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -45,3 +45,11 @@ def ensure_importable(spark: SparkSession) -> None:
             z.write(path, path.relative_to(PACKAGE.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that spark.checkpoint.dir names (a new one where that is unset)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+    return df.checkpoint()
