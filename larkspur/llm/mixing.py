@@ -24,7 +24,7 @@ WEIGHTS, BUDGET, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Slopes of the linear schedules over time from 0 to 1, repeating like the weights: weight(t) = 1 + slope * (2 t - 1).
 SLOPES = (-0.5, 0.0, 0.5)
 #: Rows that a slice of the hash order has on average.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 
 def word_count(text_col: str) -> Column:
