@@ -95,14 +95,14 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     are not taken; a null source is a source. An empty table gives an empty result.
     """
     m = fresh([id_col, *keep], "mix")
-    base = docs.select(*dict.fromkeys([id_col, *keep]), F.struct(F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.xxhash64(text_col).alias("t")).alias(m))
+    base = docs.select(*dict.fromkeys([id_col, *keep]), F.struct(F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text_col).alias("size"), F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`").cast("string")), 1).alias("h"), F.xxhash64(text_col).alias("t")).alias(m))
     table = staged(base, "mix")
     rows = table.select(f"`{m}`.source", f"`{m}`.size")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.count("*").alias("n"))
     plan = staged(targets(sizes.drop("n"), most=most, **kw), "targets")
     most_rows = sizes.agg(F.max("n")).first()[0] or 0
     n_slices = 1 << max(0, (most_rows // slice_rows).bit_length())
-    part = F.shiftrightunsigned(F.col(f"`{m}`.h"), 65 - n_slices.bit_length()) if n_slices > 1 else F.lit(0).cast("long")
+    part = F.shiftrightunsigned(F.col(f"`{m}`.h"), 64 - n_slices.bit_length()) if n_slices > 1 else F.lit(0).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{m}`.source")), F.lit("null"))
     cut, k = fresh([*table.columns], "slice_no"), fresh([*table.columns], "source_key")
     table = table.withColumn(cut, part).withColumn(k, key)
