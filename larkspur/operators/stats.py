@@ -15,7 +15,7 @@ NAN = float("nan")
 
 def pearson(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), out: str = "r") -> DataFrame:
     """NaN for fewer than two rows or a constant side."""
-    r = F.when((F.count("*") < 2) | (F.stddev_pop(x) < FLAT) | (F.stddev_pop(y) < FLAT), F.lit(NAN)).otherwise(F.corr(x, y))
+    r = F.when((F.count("*") < 2) | (F.stddev_pop(x) < FLAT) | (F.stddev_pop(y) < FLAT), F.lit(NAN)).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
     return df.groupBy(*by).agg(r.alias(out))
 
 
