@@ -164,3 +164,65 @@ def pareto_front(df: DataFrame, key: str, objectives: dict[str, int], tolerance:
         no_worse = no_worse & (skip | (b >= a - tolerance))
         better = better | (~skip & (b > a + tolerance))
     return l.join(r, (F.col(f"l.{key}") != F.col(f"r.{key}")) & no_worse & better, "left_anti")
+
+
+#: Rows at most that a silhouette compares.
+SAMPLE_ROWS = 5_000
+
+
+def silhouette(df: DataFrame, *, embedding: str = "embedding", label: str = "pseudo_label", key: str = "proposal_index", sample: int = SAMPLE_ROWS) -> DataFrame:
+    """(silhouette): mean Euclidean silhouette of at most `sample` rows, taken by a hash of their key; NaN with fewer than two labels.
+
+    The sample is what defines the measure. It goes to every task as one block of bounded size, and
+    each task holds its rows' distances to it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    picked = df.select(F.col(key).alias("k"), F.col(label).cast("long").alias("l"), F.col(embedding).cast("array<double>").alias("e")).orderBy(F.xxhash64("k"), "k").limit(min(sample, SAMPLE_ROWS))
+    spark = df.sparkSession
+    rows = picked.collect()  # at most SAMPLE_ROWS
+    labels = np.array([r["l"] for r in rows], dtype=np.int64)
+    names, codes = np.unique(labels, return_inverse=True)
+    if len(names) < 2:
+        return spark.range(1).select(F.lit(NAN).alias("silhouette"))
+    points = np.array([r["e"] for r in rows])
+    held = spark.sparkContext.broadcast((points, codes, np.bincount(codes)))
+
+    def run(batches):
+        points, codes, sizes = held.value
+        for b in batches:
+            out = []
+            for i in b.column(0).to_pylist():
+                d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+                sums = np.bincount(codes, weights=d, minlength=len(sizes))
+                own = codes[i]
+                if sizes[own] == 1:
+                    out.append(0.0)
+                    continue
+                a = sums[own] / (sizes[own] - 1)
+                other = sums / sizes
+                other[own] = np.inf
+                near = other.min()
+                out.append(float((near - a) / max(a, near)) if max(a, near) > 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["s"])
+
+    return spark.range(len(rows)).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))
+
+
+def shuffled(df: DataFrame, value: str, *, seed: int, key: str = "proposal_index") -> DataFrame:
+    """df with value dealt anew among its rows: the same permutation for the same keys, however they are sliced.
+
+    The value at place i of one hash order goes to the row at place i of another; places come from
+    range partitions, so no task orders the whole table.
+    """
+    from larkspur.operators.reports import positions
+
+    def placed(salt: str, out: str, *columns: str) -> DataFrame:
+        rows = df.select(key, *columns).withColumn("_h", F.xxhash64(F.lit(f"{seed}:{salt}"), F.col(key)))
+        return positions(rows, "_h", out, key=key)
+
+    gives = placed("from", "_at", value).select("_at", value)
+    takes = placed("to", "_at").select(F.col(key).alias("_to"), "_at")
+    dealt = takes.join(gives, "_at").select("_to", value)
+    return df.drop(value).join(dealt, F.col(key) == F.col("_to")).select(*df.columns)
