@@ -11,7 +11,7 @@ from larkspur.operators import audits as A
 from larkspur.operators import reports as Q
 from larkspur.operators import scoring as S
 from larkspur.plans import fixtures as X
-from larkspur.plans.queries import _RANK, BUDGET, micro, query, sql_micro
+from larkspur.plans.queries import _ENT, _Q, _RANK, _UNC, BUDGET, micro, query, sql_micro, sql_normalised
 from larkspur.plans.report_queries import _SEEN
 
 _TRUTH = _SEEN.replace("SELECT proposal_index,", "SELECT proposal_index, image_id, confidence, objectness,")
@@ -63,7 +63,23 @@ def rarity_alignment(spark, sf):
     return A.rarity_alignment(_graded(spark, sf), rarity="objectness").select("rows", micro("rho").alias("rho"))
 
 
-@query()
+def _sql_comparison() -> str:
+    e = f"e AS (SELECT *, {_ENT} AS ent FROM q), e1 AS ({sql_normalised('e', 'ent', 're', 'rank')}), e2 AS ({sql_normalised('e1', 'confidence', 'rc', 'rank')})"
+    values = {**_UNC, "objectness_weighted_entropy": "sqrt(re * rc)"}
+    long = " UNION ALL ".join(f"SELECT '{m}' AS method, proposal_index, image_id, confidence, objectness, {x} AS u FROM e2" for m, x in (*values.items(), ("", "confidence")))
+
+    def ranked(v: str) -> str:
+        return f"rank() OVER (PARTITION BY method ORDER BY {v}) + (count(*) OVER (PARTITION BY method, {v}) - 1) / 2.0"
+
+    z = f"z AS (SELECT *, {ranked('u')} AS ru, {ranked('confidence')} AS rf, {ranked('objectness')} AS ro, row_number() OVER (PARTITION BY method ORDER BY u DESC, proposal_index) AS pu, row_number() OVER (PARTITION BY method ORDER BY confidence DESC, proposal_index) AS pf, greatest(1, round_even(count(*) OVER (PARTITION BY method) * 0.1, 0)) AS top, row_number() OVER (PARTITION BY method, image_id ORDER BY u DESC, proposal_index) AS i FROM (SELECT * FROM long))"
+    stats = "st AS (SELECT method, corr(ru, rf) AS spearman, corr(u, confidence) AS pearson, corr(ru, ro) AS spearman_objectness, count(*) FILTER (pu <= top AND pf <= top) / CAST(max(top) AS DOUBLE) AS top_overlap FROM z GROUP BY 1)"
+    best = f"best AS (SELECT method, image_id FROM (SELECT method, image_id, row_number() OVER (PARTITION BY method ORDER BY avg(u) DESC, image_id) AS k FROM z WHERE i <= 3 GROUP BY 1, 2) WHERE k <= {BUDGET})"
+    shared = "sh AS (SELECT a.method, count(b.image_id) AS o FROM best a LEFT JOIN best b ON b.method = '' AND b.image_id = a.image_id GROUP BY 1)"
+    cols = ", ".join(f"{sql_micro(c)} AS {c}" for c in ("spearman", "pearson", "spearman_objectness", "top_overlap"))
+    return f"WITH {X.P_SQL}, {_Q}, {e}, long AS ({long}), {z}, {stats}, {best}, {shared} SELECT method, {cols}, {sql_micro(f'o / CAST({2 * BUDGET} - o AS DOUBLE)')} AS jaccard, abs(spearman) > 0.999 AS monotone, spearman_objectness < -0.1 AS prefers_low_objectness FROM st JOIN sh USING (method) WHERE method <> ''"
+
+
+@query(_sql_comparison())
 def uncertainty_comparison(spark, sf):
     got = A.uncertainty_comparison(X.candidates(spark, sf), budget=BUDGET)
     return got.select("method", *(micro(c).alias(c) for c in ("spearman", "pearson", "spearman_objectness", "top_overlap", "jaccard")), "monotone", "prefers_low_objectness")
