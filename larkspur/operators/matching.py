@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
+from larkspur.session import cut
 
 GROUPS = ("head", "medium", "tail")
 
@@ -39,16 +40,23 @@ def match(detections: DataFrame, targets: DataFrame, *, ignore: DataFrame | None
     empty_gts = F.expr("cast(array() as array<struct<gt_idx:bigint,box:struct<x1:double,y1:double,x2:double,y2:double>,name:string>>)")
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("used"), F.expr("cast(array() as array<struct<det_idx:bigint,score:double,gt_idx:bigint,ignored:boolean>>)").alias("rows"))
 
+    def reaches(iou: Column) -> Column:
+        return iou >= threshold if threshold > 0 else iou > 0
+
     def step(a: Column, d: Column) -> Column:
         reach = F.transform(
-            F.filter(F.coalesce("_gts", empty_gts), lambda t: same(d, t) & ~F.array_contains(a["used"], t["gt_idx"]) & (V.box_iou(d["box"], t["box"]) >= threshold) & (V.box_iou(d["box"], t["box"]) > 0)),
+            F.filter(F.coalesce("_gts", empty_gts), lambda t: same(d, t) & ~F.array_contains(a["used"], t["gt_idx"]) & reaches(V.box_iou(d["box"], t["box"]))),
             lambda t: F.struct((-V.box_iou(d["box"], t["box"])).alias("minus"), t["gt_idx"].cast("long").alias("gt_idx")),
         )
         taken = F.array_min(reach)["gt_idx"]
         touches = F.exists(F.coalesce("_ign", empty_gts), lambda t: same(d, t) & (V.box_iou(d["box"], t["box"]) >= threshold))
-        row = F.struct(d["det_idx"].cast("long").alias("det_idx"), (-d["minus"]).cast("double").alias("score"), taken.alias("gt_idx"), (taken.isNull() & touches).alias("ignored"))
-        used = F.when(taken.isNull(), a["used"]).otherwise(F.concat(a["used"], F.array(taken)))
-        return F.struct(used.alias("used"), F.concat(a["rows"], F.array(row)).alias("rows"))
+
+        def after(t: Column) -> Column:
+            row = F.struct(d["det_idx"].cast("long").alias("det_idx"), (-d["minus"]).cast("double").alias("score"), t.alias("gt_idx"), (t.isNull() & touches).alias("ignored"))
+            used = F.when(t.isNull(), a["used"]).otherwise(F.concat(a["used"], F.array(t)))
+            return F.struct(used.alias("used"), F.concat(a["rows"], F.array(row)).alias("rows"))
+
+        return F.element_at(F.transform(F.array(taken), after), 1)  # the search runs once a detection
 
     folded = joined.select(*keys, F.explode(F.aggregate("_dets", start, step, lambda a: a["rows"])).alias("m"))
     tp = F.col("m.gt_idx").isNotNull()
@@ -102,7 +110,7 @@ def grouped_metrics(detections: DataFrame, truth: DataFrame, groups: DataFrame,
     overall = all_targets.withColumn("group", F.lit("overall"))
     parts, targets = grouped_matches(detections, truth, groups, threshold=threshold)
     columns = ["group", "image_id", "det_idx", "score", "gt_idx", "tp", "fp", "ignored"]
-    m = whole.select(*columns).unionByName(parts.select(*columns))
+    m = cut(whole.select(*columns).unionByName(parts.select(*columns)))  # two readers
     t = overall.select("group", "image_id", "gt_idx").unionByName(targets.select("group", "image_id", "gt_idx"))
     return recall(m, t, ("group",)).join(average_precision(m, t, ("group",)), "group")
 
