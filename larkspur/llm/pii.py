@@ -2,15 +2,22 @@
 
 Seeds are the spans of the fixed patterns and tokens that look like secrets. What stands
 around every candidate token induces lexical patterns: the cue word and the separator before
-it, or the capital prefix and length of the token itself. Patterns and instances form a
-bipartite graph that Spark scores in turn: a pattern by the mean score of its distinct
-instances, an instance by its seed value or its best pattern. Tokens found by patterns of
-high confidence are spans even where no seed covers them.
+it, the capital prefix and length of the token itself, or the one to three words left or right
+of a seed. Patterns and instances form a bipartite graph that Spark scores in turn: a pattern
+by the mean score of its distinct instances, an instance by its seed value or its best
+pattern. Tokens found by patterns of high confidence are spans even where no seed covers them.
+
+Word contexts are found in passes: the contexts of seeds with their counts of distinct seeds,
+then the distinct other tokens in the same contexts, of which a task sends no more than decide
+against the context. Only contexts with a share of seeds enter the graph.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,11 +37,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = str.maketrans("", "", " -().+")
 #: A cue: a word, a separator with = or :, an optional quote, then the candidate.
-_CUE = re.compile(r"(?<![^\W_])([^\W\d_]{2,24})(\x20?[=:]{1,2}\x20?[\"']?)([^\s\"',;<>]{4,128})")
+_CUE = re.compile(r"(?<![^\W_])([^\W\d_]{2,24})(\x20?[=:]{1,2}\x20?[\"']?)([^\s\"',;<>]{4,})")
 #: A candidate by its own shape: capitals and digits.
-_SHAPE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2,6}[A-Z0-9]{10,40}(?![A-Za-z0-9])")
+_SHAPE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[A-Z0-9]{10,}+(?![A-Za-z0-9])")
 #: Rounds of scoring, confidence of accepted patterns, distinct instances they need.
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 3
+#: Words of a context on one side, the least share of its distinct tokens that are seeds, and the least length of a token that it adds.
+WORDS, SHARE, LEAST = 3, 0.5, 4
+#: What does not count at either end of a word.
+_EDGE = ".,;:!?()[]{}<>\"'`|*=-"
+_CHUNK = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -109,6 +121,103 @@ def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tupl
     return out
 
 
+def words(text: str) -> list[str]:
+    """Lower-case words without punctuation at their ends; what is punctuation only is no word."""
+    return [v for w in text.split() if (v := w.lower().strip(_EDGE))]
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """The chunk between white space of each of words(text)."""
+    return [m.span() for m in _CHUNK.finditer(text) if m[0].lower().strip(_EDGE)]
+
+
+def seed_spans(base: list[tuple[str, int, int]], occ: list[tuple[int, int, str, str, bool]]) -> list[tuple[int, int]]:
+    return sorted({(a, b) for _, a, b in base} | {(a, b) for a, b, _, _, seed in occ if seed})
+
+
+def seed_contexts(text: str, seeds: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """(pattern, instance): the one to three words left and right of every seed span."""
+    if not seeds:
+        return []
+    ws, spans = words(text), word_spans(text)
+    starts = [a for a, _ in spans]
+    out = []
+    for a, b in seeds:
+        i, j = bisect_right(starts, a) - 1, bisect_left(starts, b)
+        out += [(f"left {' '.join(ws[i - n : i])}", text[a:b]) for n in range(1, min(WORDS, i) + 1)]
+        out += [(f"right {' '.join(ws[j : j + n])}", text[a:b]) for n in range(1, min(WORDS, len(ws) - j) + 1)]
+    return out
+
+
+class Contexts:
+    """Word contexts to look for; a context can be dropped on the way."""
+
+    def __init__(self, patterns: Iterable[str]):
+        self.live = set(patterns)
+        self.left, self.right = Counter(), Counter()
+        for p in self.live:
+            self._ends(p)[0][self._ends(p)[1]] += 1
+
+    def _ends(self, pattern: str) -> tuple[Counter, str]:
+        side, *ws = pattern.split(" ")
+        return (self.left, ws[-1]) if side == "left" else (self.right, ws[0])
+
+    def drop(self, pattern: str) -> None:
+        self.live.discard(pattern)
+        of, word = self._ends(pattern)
+        of[word] -= 1
+        if not of[word]:
+            del of[word]
+
+    def hits(self, ws: list[str]) -> list[tuple[int, str]]:
+        """(word, pattern) of every word in a context."""
+        out, last = [], len(ws) - 1
+        left, right, live = self.left, self.right, self.live
+        for i, w in enumerate(ws):
+            if w in left and i < last:
+                out += [(i + 1, p) for n in range(1, min(WORDS, i + 1) + 1) if (p := f"left {' '.join(ws[i - n + 1 : i + 1])}") in live]
+            if w in right and i:
+                out += [(i - 1, p) for n in range(1, min(WORDS, last - i + 1) + 1) if (p := f"right {' '.join(ws[i : i + n])}") in live]
+        return out
+
+
+def in_contexts(text: str, contexts: Contexts, base: list[tuple[str, int, int]] | None = None, occ: list[tuple[int, int, str, str, bool]] | None = None) -> list[tuple[int, int, str, str, bool]]:
+    """Occurrences, as of `occurrences`, of what stands in the contexts: the span of a fixed pattern, a candidate token or else a word."""
+    if not (contexts.live and text and (hits := contexts.hits(words(text)))):
+        return []
+    base = base_spans(text) if base is None else base
+    occ = occurrences(text, base) if occ is None else occ
+    seeds = set(seed_spans(base, occ))
+    spans = word_spans(text)
+    starts = [a for a, _ in spans]
+    firsts: dict[int, tuple[int, int]] = {}
+    lasts: dict[int, tuple[int, int]] = {}
+    inside = set()
+    # seeds come before other candidates, so that these do not stand for a chunk that has a seed
+    for a, b in [*sorted(seeds), *sorted({(a, b) for a, b, *_ in occ} - seeds)]:
+        i, j = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
+        inside.update(range(i, j + 1))
+        if (a, b) in seeds:
+            firsts.setdefault(i, (a, b))
+            lasts[j] = (a, b)
+        else:
+            firsts.setdefault(i, (a, b))
+            lasts.setdefault(j, (a, b))
+    out = []
+    for i, p in hits:
+        got = (firsts if p.startswith("left") else lasts).get(i)
+        if got is None:
+            if i in inside:  # amid a span of several words
+                continue
+            a, b = spans[i]
+            chunk = text[a:b]
+            a += len(chunk) - len(chunk.lstrip(_EDGE))
+            got = a, a + len(chunk.strip(_EDGE))
+        token = text[got[0] : got[1]]
+        out.append((*got, p, token, got in seeds or secret_like(token)))
+    return out
+
+
 _OCC = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("pattern", T.StringType()), ("instance", T.StringType()), ("seed", T.BooleanType()))])
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _OCC_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())]))
@@ -119,13 +228,79 @@ def _rows(names: tuple[str, ...], found: list[list[tuple]], kind: pa.DataType) -
     return pa.array([[dict(zip(names, x, strict=True)) for x in row] for row in found], type=kind)
 
 
-def scanned(docs: DataFrame, *, text_col: str, keep: list[str], base_col: str, occ_col: str, row_col: str) -> DataFrame:
+_PAIR = pa.schema([("pattern", pa.string()), ("instance", pa.string())])
+
+
+def _pairs(docs: DataFrame, text_col: str, of) -> DataFrame:
+    """(pattern, instance) rows that of makes from the texts of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str | None]] = []
+        for row in of(t for b in batches for t in b.column(0).to_pylist() if t):
+            rows.append(row)
+            if len(rows) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in zip(*rows, strict=True)], schema=_PAIR)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in zip(*rows, strict=True)], schema=_PAIR)
+
+    return docs.select(f"`{text_col}`").mapInArrow(run, "pattern string, instance string")
+
+
+def word_contexts(docs: DataFrame, *, text_col: str, support: int = SUPPORT, share: float = SHARE) -> list[str]:
+    """The contexts of at least `support` distinct seeds that make up at least `share` of the distinct tokens there.
+
+    A task stops counting the other tokens of a context once they are too many for the share, and
+    sends one row for it. So common contexts stay small, and none that has the share is lost.
+    """
+
+    def seeded(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
+        for t in texts:
+            base = base_spans(t)
+            yield from seed_contexts(t, seed_spans(base, occurrences(t, base)))
+
+    found = _pairs(docs, text_col, seeded).groupBy("pattern", "instance").agg(F.lit(1).alias("one"))
+    counts = {r["pattern"]: r["n"] for r in found.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).collect()}
+    if not counts:
+        return []
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def others(texts: Iterator[str]) -> Iterator[tuple[str, str | None]]:
+        most = {p: n * (1 - share) / share for p, n in shared.value.items()}
+        contexts = Contexts(most)
+        seen: dict[str, set[str]] = {}
+        for t in texts:
+            for _, _, p, token, seed in in_contexts(t, contexts):
+                if seed or p not in contexts.live:
+                    continue
+                of = seen.setdefault(p, set())
+                of.add(token)
+                if len(of) > most[p]:
+                    del seen[p]
+                    contexts.drop(p)
+                    yield p, None
+        for p, of in seen.items():
+            for token in of:
+                yield p, token
+
+    pairs = _pairs(docs, text_col, others).groupBy("pattern", "instance").agg(F.lit(1).alias("one"))
+    rest = pairs.groupBy("pattern").agg(F.count("*").alias("n"), F.max(F.col("instance").isNull()).alias("over"))
+    # few against the tokens: one row for a context that is seeded
+    other = {r["pattern"]: None if r["over"] else r["n"] for r in rest.collect()}
+    return sorted(p for p, n in counts.items() if (m := other.get(p, 0)) is not None and m <= n * (1 - share) / share)
+
+
+def scanned(docs: DataFrame, *, text_col: str, keep: list[str], base_col: str, occ_col: str, row_col: str, contexts: Iterable[str] = ()) -> DataFrame:
     """The keep columns, base spans, occurrences and a row number, as a staged table."""
+    shared = docs.sparkSession.sparkContext.broadcast(list(contexts))
 
     def run(column: pa.Array) -> list[pa.Array]:
         texts = column.to_pylist()
         base = [base_spans(t) for t in texts]
         occ = [occurrences(t, b) for t, b in zip(texts, base, strict=True)]
+        if shared.value:
+            around = Contexts(shared.value)
+            occ = [[*o, *in_contexts(t, around, b, o)] for t, b, o in zip(texts, base, occ, strict=True)]
         return [_rows(("kind", "start", "end"), base, _SPAN_ARROW), _rows(("start", "end", "pattern", "instance", "seed"), occ, _OCC_ARROW)]
 
     columns = list(dict.fromkeys([*keep, text_col]))
@@ -158,10 +333,11 @@ def find_personal(docs: DataFrame, *, text_col: str = "text", keep: list[str], *
     """
     shared_dir(docs.sparkSession)
     base, occ, row = (fresh([*docs.columns], n) for n in ("base_spans", "occurrences", "row_number"))
-    table = scanned(docs, text_col=text_col, keep=keep, base_col=base, occ_col=occ, row_col=row)
+    contexts = word_contexts(docs, text_col=text_col, support=kw.get("support", SUPPORT))
+    table = scanned(docs, text_col=text_col, keep=keep, base_col=base, occ_col=occ, row_col=row, contexts=contexts)
     flat = table.where(F.size(occ) > 0).select(F.col(row).alias("row"), F.col(base).alias("base"), F.explode(occ).alias("o")).select("row", "base", "o.*")
     good = confident_patterns(flat.select("pattern", "instance", "seed"), **kw)
-    found = flat.join(good, "pattern", "left_semi")
+    found = flat.join(good, "pattern", "left_semi").where(F.col("end") - F.col("start") >= LEAST)
     found = found.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
     added = found.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_added"))
     # of overlapping ones the first stays; a row's spans are bounded by its text

@@ -219,6 +219,20 @@ def test_personal_data(spark, docs, rows, empty):
     assert masked[5]["text"] is None and pii.personal_report(empty).count() == 0
 
 
+def test_personal_data_long_tokens_and_word_contexts(spark):
+    long = "".join("0123456789abcdef"[i * 7 % 16] for i in range(320))
+    texts = [f'say token = "{long[i:]}a" now' for i in range(4)]
+    texts += [f"you may call +1 (017) 555-77{i}3 or write" for i in range(10, 14)] + ["you may call 5557713x9 soon", "they call it a day", "we call them home", "we call us all", "some call me late", "others call him early"]
+    texts += [f"it was m{i}@b{i}.org wrote this" for i in range(4)] + ["and bob(at)b9 wrote this"]
+    texts += [f"seen by all but 10.0.0.{i} the" for i in range(4)] + [f"but {w} the" for w in prose(80).split()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    assert all(got[i] == 'say token = "<CONTEXT>" now' for i in range(4))
+    assert got[8] == "you may call <CONTEXT> soon" and got[9] == texts[9]
+    assert got[18] == "and <CONTEXT> wrote this" and all(got[i] == texts[i] for i in range(23, len(texts)))
+    assert not any(p in pii.word_contexts(df, text_col="text") for p in ("left call", "left but", "right the")) and "left may call" in pii.word_contexts(df, text_col="text")
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><nav><a href=1>Home</a></nav><!-- x --><div class=ad>Buy now</div><article><h1>A &amp; B</h1><p>One&nbsp;two\n three<p><b>Four.<br><p></article><div id=comments><p>Nice page, I read all of it.</p></div><footer>Foot</footer></body></html>"
     assert html_blocks.main_text(page) == "A & B\nOne two three\nFour."
