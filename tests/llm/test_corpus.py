@@ -269,6 +269,21 @@ def test_licenses(spark, docs, rows):
     assert license_scan.license_report(docs).count() == len(rows)
 
 
+def test_licenses_over_lines_and_several_in_a_block():
+    wrapped = {"BSD-3-Clause": "with or without", "MIT-grant": "obtaining a copy"}
+    for name, at in wrapped.items():
+        text = "Words before.\n" + license_scan.TEMPLATES[name].replace(at + " ", at + "\n") + "\nWords after."
+        found = license_scan.scan_text(text)[1]
+        assert [f["license"] for f in found] == [name] and text[found[0]["start"] :].startswith(license_scan.TEMPLATES[name][:20])
+    both = "Licensed under the MIT License. Licensed under CC BY 4.0."
+    assert [f["license"] for f in license_scan.scan_text(both)[1]] == ["MIT", "CC-BY-4.0"]
+    names = ["GPL-2.0", "CC-BY-SA-4.0", "MIT", "AGPL-3.0", "MIT", "Apache-2.0-header", "LGPL-3.0", "CC0-1.0", "MPL-2.0", "BSD", "proprietary", "CC-BY-NC-4.0"]
+    line = " some words here ".join(license_scan.TEMPLATES[n] for n in names)
+    assert len(line) > 600 and [f["license"] for f in license_scan.scan_text(line)[1]] == names
+    for name, t in license_scan.TEMPLATES.items():
+        assert [(f["license"], f["start"], f["end"]) for f in license_scan.scan_text(f"Some words.\n{t}\nMore words.")[1]] == [(name, 12, 12 + len(t))]
+
+
 def test_toxicity(spark, docs, rows, empty):
     rng = random.Random(2)
     texts = [(i, prose(60) + (" vilest rotter " if i % 3 == 0 else " ") + rng.choice(["women", "men", "pals"])) for i in range(300)]
