@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 
 from pyspark.sql import DataFrame, Window
@@ -62,38 +63,65 @@ def group_ratio(pool: DataFrame) -> DataFrame:
     return one.withColumn("target_ratio", F.try_divide("head_target", "tail_target")).withColumn("realised_ratio", F.try_divide("head_realised", "tail_realised"))
 
 
-def long_tail_pool(objects: DataFrame, targets: DataFrame, *, seed: int = 0) -> DataFrame:
-    """(image_id): images that greedily fill the class targets, in id order.
+def _quotas(counts: dict[str, int], want: dict[str, int], seed: int) -> dict[str, int]:
+    """Images that the greedy loop takes of each signature.
 
-    Images with the same set of classes are interchangeable up to their random tie-break, so they are
-    counted per signature in the engine; only signatures with their counts reach the driver (at
-    most two to the power of the classes, in practice few), and the draws per signature go back as a
-    table. Each step adds an image of the signature that fills most still-open classes and
-    overflows fewest; ties by the signatures' seeded order.
+    Among the images left it takes one that shows most open classes, then one whose classes exceed
+    their targets least in sum, then by the signatures' seeded order. Signatures with as many open
+    classes and the same full ones always score alike, so they share a bucket. A bucket's excess
+    only grows, so the bucket on top of the heap is the best one once its excess is renewed.
+    Buckets are made anew whenever a class fills up.
     """
-    sig = objects.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_set("class_name")), "\x1f").alias("signature"))
-    counts = {r["signature"]: r["count"] for r in sig.groupBy("signature").count().collect()}
-    want = {r["class_name"]: r["target"] for r in targets.collect()}  # classes are few
     order = sorted(counts)
     random.Random(seed).shuffle(order)
-    sets = {s: s.split("\x1f") for s in order}
+    sets = [[c for c in s.split("\x1f") if c in want] for s in order]
+    left = [counts[s] for s in order]
     have = dict.fromkeys(want, 0)
-    taken = dict.fromkeys(order, 0)
-    while True:
-        best = None
-        for i, s in enumerate(order):
-            if taken[s] == counts[s]:
+    changed = True
+    while changed:
+        changed = False
+        buckets: dict[tuple[int, tuple[str, ...]], list[int]] = {}
+        for i, classes in enumerate(sets):
+            full = tuple(c for c in classes if have[c] >= want[c])
+            if left[i] and len(full) < len(classes):
+                buckets.setdefault((len(classes) - len(full), full), []).append(i)
+        for members in buckets.values():
+            members.reverse()  # first at the end
+        heap = [(-k, sum(have[c] + 1 - want[c] for c in full), members[-1], full) for (k, full), members in buckets.items()]
+        heapq.heapify(heap)
+        while heap and not changed:
+            k, over, i, full = heap[0]
+            now = sum(have[c] + 1 - want[c] for c in full)
+            members = buckets[-k, full]
+            if now != over:
+                heapq.heapreplace(heap, (k, now, i, full))
                 continue
-            gain = sum(have.get(c, 0) < want.get(c, 0) for c in sets[s])
-            over = sum(have.get(c, 0) >= want.get(c, 0) for c in sets[s])
-            if gain and (best is None or (-gain, over, i) < best[0]):
-                best = ((-gain, over, i), s)
-        if best is None:
-            break
-        taken[best[1]] += 1
-        for c in sets[best[1]]:
-            if c in have:
+            left[i] -= 1
+            for c in sets[i]:
                 have[c] += 1
+                changed |= have[c] == want[c]
+            if not left[i]:
+                members.pop()
+                if members:
+                    heapq.heapreplace(heap, (k, now, members[-1], full))
+                else:
+                    heapq.heappop(heap)
+    return {s: counts[s] - n for s, n in zip(order, left, strict=True)}
+
+
+def long_tail_pool(objects: DataFrame, targets: DataFrame, *, seed: int = 0) -> DataFrame:
+    """(image_id): images that greedily fill the class targets; classes without a target do not count.
+
+    Images with the same set of classes are interchangeable up to their random tie-break, so they are
+    counted per signature in the engine; only signatures with their counts reach the driver (at most
+    as many as images, or as two to the power of the classes), and the draws per signature go back
+    as a table.
+    """
+    want = {r["class_name"]: r["target"] for r in targets.collect()}  # classes are few
+    known = objects.join(F.broadcast(targets.select("class_name").distinct()), "class_name", "left_semi")
+    sig = known.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_set("class_name")), "\x1f").alias("signature"))
+    counts = {r["signature"]: r["count"] for r in sig.groupBy("signature").count().collect()}
+    taken = _quotas(counts, want, seed)
     spark = objects.sparkSession
     draws = spark.createDataFrame([(s, n) for s, n in taken.items() if n] or [("", 0)], "signature string, quota long")
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("image_id").cast("string")), 256)

@@ -452,9 +452,8 @@ def longtail_targets(spark, sf):
 
 @query()
 def longtail_pool(spark, sf):
-    o = X.objects(spark, sf).where(F.col("class_name").substr(-1, 1) == "1")
-    t = P.long_tail_targets(P.object_counts(o), 5.0)
-    return P.long_tail_pool(o, t.withColumn("target", F.least("target", F.lit(40))), seed=3)
+    o = X.objects(spark, sf)
+    return P.long_tail_pool(o, P.long_tail_targets(P.presence_counts(o), 5.0), seed=3)
 
 
 # similarity of selections -----------------------------------------------------------------

@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +82,47 @@ def test_thirds_and_long_tail(spark):
     assert {r["class_name"]: r["target"] for r in P.long_tail_targets(counts, 8.0).collect()} == {"a": 100, "b": 50, "c": 25, "d": 1}
 
 
+def _brute_pool(images, want, seed):
+    """The reference's loop over images; ties by the signatures' seeded order, then by hash."""
+    sets = {i: frozenset(c for c in cs if c in want) for i, cs in images.items()}
+    names = {i: "\x1f".join(sorted(s)) for i, s in sets.items()}
+    order = sorted({n for n in names.values() if n})
+    random.Random(seed).shuffle(order)
+    tie = {i: (order.index(n), hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()) for i, n in names.items() if n}
+    have, picked = dict.fromkeys(want, 0), set()
+    while True:
+        best = None
+        for i in tie.keys() - picked:
+            gain = sum(have[c] < want[c] for c in sets[i])
+            over = sum(max(0, have[c] + 1 - want[c]) for c in sets[i])
+            if gain and (best is None or (-gain, over, tie[i]) < best[0]):
+                best = ((-gain, over, tie[i]), i)
+        if best is None:
+            return picked
+        picked.add(best[1])
+        for c in sets[best[1]]:
+            have[c] += 1
+
+
+def test_long_tail_pool_against_brute_force(spark):
+    rng = random.Random(7)
+    differ = 0
+    for seed in range(3):
+        weights = [3, 2, 2, 2, 2, 2, 2, 1]
+        images = {f"i{k}": rng.choices("abcdefgx", weights, k=rng.randrange(1, 6)) for k in range(150)}
+        objects = spark.createDataFrame([(i, c) for i, cs in images.items() for c in cs], "image_id string, class_name string")
+        targets = P.long_tail_targets(P.presence_counts(objects.where("class_name <> 'x'")), 30.0).cache()
+        want = {r["class_name"]: r["target"] for r in targets.collect()}
+        got = [r["image_id"] for r in P.long_tail_pool(objects, targets, seed=seed).collect()]
+        assert len(got) == len(set(got)) and set(got) == _brute_pool(images, want, seed)
+        differ += len(got) < len(images)
+    assert differ
+    # one class far over its target weighs more than two that are just full
+    counts = {"a1\x1fa2\x1fa3\x1fx": 1, "b1\x1fb2\x1fb3\x1fx": 1, "c1\x1fc2\x1fc3\x1fx": 1, "q\x1fy\x1fz": 2, "q\x1fx": 1}
+    taken = P._quotas(counts, {c: 1 + (c == "q") for s in counts for c in s.split("\x1f")}, 0)
+    assert taken["q\x1fy\x1fz"] == 2 and taken["q\x1fx"] == 0
+
+
 def test_statistics_edges(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "x double, y double")
     assert np.isnan(T.pearson(df, "x", "y").first()["r"])
