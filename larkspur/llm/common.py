@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import itertools
 import tempfile
 import uuid
@@ -17,40 +18,73 @@ from pyspark.sql import types as T
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_staged: list[str] = []
-_scoped: list[str] = []
+#: Keys with more than this share of the rows, which are at most as many as its inverse, are joined by broadcast.
+HOT_SHARE = 1 / 1000
+
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local master gets a folder of its own where that is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
+        _delete_at_exit(spark, sc.getCheckpointDir())
+    return named or sc.getCheckpointDir()
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete path when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The table lasts until the `staging` around it ends or else until the application does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/larkspur-{label}-{uuid.uuid4().hex}"
+    _delete_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def stage_scope(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted when the next scope opens: by then the stage's result must be written."""
-    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _scoped):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _scoped.clear()
-    before = len(_staged)
-    yield
-    _scoped.extend(_staged[before:])
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: what is made of them must be written by then."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, mine):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, *, total: int | None = None, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+    """big with the columns of small, which has one row for each key; small's column `rows` counts the rows of big with that key.
+
+    Keys that hold more than `share` of the rows would each fill one task. They are at most
+    1 / share, so their rows of small are broadcast; the other keys are shuffled. Null keys match
+    nothing and, with how="left", stay where they are. Pass staged or checkpointed tables: both are read
+    more than once. The column `rows` is dropped.
+    """
+    if total is None:
+        total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(small.where(F.col(rows) > total * share).drop(rows))
+    rest = big.where(F.col(f"`{key}`").isNotNull()).join(hot.select(key), key, "left_anti").join(small.where(F.col(rows) <= total * share).drop(rows), key, how)
+    out = big.join(hot, key).unionByName(rest)
+    if how == "left":
+        out = out.unionByName(big.where(F.col(f"`{key}`").isNull()), allowMissingColumns=True)
+    return out
 
 
 def fresh(names: list[str], wanted: str) -> str:

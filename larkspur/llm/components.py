@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a combinable groupBy-min and a join on the same key; rows never gather per
-hub. State is cut with checkpoint() in the shared folder after each round.
+Every step is a combinable groupBy-min and a join on the same key. Hubs, keys with more than a
+thousandth of all rows, get their least neighbour by broadcast, so that no task holds a hub's rows.
+State is cut with checkpoint() in the shared folder after each step.
 """
 
 from __future__ import annotations
@@ -9,21 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import shared_dir
+from larkspur.llm.common import shared_dir, spread_join
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Every neighbour above u points to the least of u and its neighbours."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("rows")).where("rows > 0").checkpoint()
+    return spread_join(both.where("v > u"), least, "u", "rows", total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """u (the larger end) and its smaller neighbours all point to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).checkpoint()
+    moved = spread_join(edges, least, "u", "rows", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -34,14 +34,21 @@ def connected_components(edges: DataFrame, *, rounds: int = 100) -> DataFrame:
     are absent. Raises RuntimeError if it has not settled after `rounds` rounds.
     """
     shared_dir(edges.sparkSession)
-    now = edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct().checkpoint()
-    mark = None
-    for _ in range(rounds):
-        now = _small(_large(now)).checkpoint()
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+
+    def digest(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    mark = digest(now)
+    for _ in range(rounds if mark[0] else 0):
+        # both steps give edges from the larger to the smaller end
+        middle = _large(now, mark[0]).checkpoint()
+        now = _small(middle, mark[0]).checkpoint()
+        got = digest(now)
         if got == mark:
             break
         mark = got
     else:
-        raise RuntimeError(f"components have not settled after {rounds} rounds")
+        if mark[0]:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import fresh, raw_texts, staged, with_added
+from larkspur.llm.common import fresh, raw_texts, spread_join, staged, with_added
 from larkspur.llm.components import connected_components
 
 RADIUS = 4
@@ -200,26 +200,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are lower-cased (A-Z), split at ASCII white space and shingled by `shingle` words; texts of
     fewer words are one shingle, texts without words (null, empty) have fingerprint zero. Repeated
     rows fall in one component; null ids get the least non-null id of their component, or null.
-    keep_columns adds every column of docs and two internal ones, _fp and _keep (true for one row
-    of each component: that with the least id, ties by an arbitrary but fixed row number).
+    An empty table gives an empty result. With keep_columns, the columns of docs (whatever their
+    names) and one row of each component: that with the least id, nulls last, ties by row number.
     """
-    fp, row = ("_fp", "_row") if not keep_columns else (fresh(docs.columns, "_fp"), fresh(docs.columns, "_row"))
+    fp, row = fresh(docs.columns, "fingerprint"), fresh(docs.columns, "row_number")
     base = docs if keep_columns else docs.select(id_col, text_col)
     marked = with_fingerprint(base, text_col=text_col, fp_col=fp, shingle=shingle)
+    table = staged(marked.withColumn(row, F.monotonically_increasing_id()) if keep_columns else marked.select(F.col(f"`{id_col}`").alias("doc_id"), fp), "prints")
+    one = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(row)) if keep_columns else F.col("doc_id")
+    prints = staged(table.groupBy(F.col(fp).alias("fp")).agg(F.min(one).alias("least"), F.count("*").alias("rows")), "distinct")
+    parts = connected_components(links(prints.select("fp"), radius=radius, crowd=crowd))
+    classed = staged(prints.join(parts, prints.fp == parts.node, "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("component")), "classes")
+    roots = classed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     if keep_columns:
-        table = staged(marked.withColumn(row, F.monotonically_increasing_id()), "prints")
-    else:
-        table = staged(marked.select(id_col, fp), "prints")
-    least = table.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least"), *([F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))).alias("best")] if keep_columns else []))
-    parts = connected_components(links(least.select("fp"), radius=radius, crowd=crowd))
-    classed = least.join(parts, least.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"), *(["best"] if keep_columns else []))
-    roots = classed.groupBy("component").agg(F.min("least").alias("component_id"), *([F.min("best").alias("best")] if keep_columns else []))
-    named = classed.select("fp", "component").join(roots, "component")
-    if not keep_columns:
-        full = table.join(named, F.col(fp) == named.fp)
-        return full.select(F.col(f"`{id_col}`").alias("doc_id"), F.lower(F.lpad(F.hex(F.col(fp)), 16, "0")).alias("fingerprint"), "component_id")
-    kept = roots.select(F.col(f"best.{row}").alias("kept_row"))
-    return table.join(kept, F.col(row) == F.col("kept_row"), "left_semi").select(*docs.columns)
+        kept = roots.select(F.col(f"component_id.{row}").alias(row))
+        return table.join(kept, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    # a component of near copies, and a fingerprint of exact ones (or of texts without words), may hold any share of the rows
+    named = spread_join(classed, staged(roots, "roots"), "component", "members")
+    named = staged(named.select(F.col("fp").alias(fp), "component_id", "rows"), "named")
+    full = spread_join(table, named, fp, "rows")
+    return full.select("doc_id", F.lower(F.lpad(F.hex(F.col(fp)), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
