@@ -2,13 +2,14 @@
 
 Every run of training texts inside an Arrow batch is a shard. A shard gets a sparse suffix
 array over its words: of all word positions, those stay whose first words open some window
-of the benchmark, since no other suffix can share a window. Each benchmark suffix is then
-binary-searched in it, which gives the training positions that share its first 13 words;
-neighbouring hits on one diagonal join to the longest verbatim match.
+of the benchmark, since no other suffix can share a window. Each distinct benchmark suffix is then
+binary-searched in it, which gives the training positions that share its first 13 words. Of
+these, matches that can't be carried on to the left are followed to the right for the longest
+verbatim match and its place.
 
 Shards are independent, so nothing is shuffled. The benchmark is read to the driver in
-blocks of bounded size and each block is broadcast; more blocks chain more passes of the
-same stage over the running results.
+blocks of bounded size and each block, about 40 bytes a word, is broadcast; more blocks chain
+more passes of the same stage over the running results.
 """
 
 from __future__ import annotations
@@ -38,11 +39,37 @@ def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return textvec.word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
+class Windows:
+    """The distinct windows of one length in a block, each with its places and items.
+
+    A window that the benchmark repeats is searched once, however often it stands there.
+    """
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, item: np.ndarray, begin: np.ndarray, width: int):
+        """at, item: place and item of each window; begin: the first place of its item."""
+        self.width, self.lead = width, min(width, 3)
+        grams = hashes[at[:, None] + np.arange(width)]
+        self.before = np.where(at > begin, hashes[np.maximum(at, 1) - 1], np.uint64(0))  # the word on the left; 0 where there is none
+        order = np.lexsort((self.before, *grams.T[::-1]))
+        grams, self.at, self.item, self.before = grams[order], at[order], item[order], self.before[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+        self.first = np.append(np.flatnonzero(new), len(at))  # places of window i: first[i] to first[i + 1]
+        self.key = _lead(grams[new], self.lead)
+        self.filter = _Filter(self.key)
+        pair = np.unique(np.cumsum(new).astype(np.int64) * (1 << 32) + self.item - (1 << 32))
+        self.items, window = (pair & 0xFFFFFFFF).astype(np.int64), pair >> 32
+        self.first_item = np.searchsorted(window, np.arange(len(self.first)))
+
+    def grams(self, hashes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return hashes[self.at[self.first[windows]][:, None] + np.arange(self.width)]
+
+
 class Block:
-    """Benchmark suffixes: the hashes of each window's words, by window length."""
+    """A part of the benchmark: the hashes of its words and its windows by length."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW):
-        hashes, first = _words([t for _, t in items])
+        self.hashes, first = _words([t for _, t in items])
         by_length: dict[int, list[tuple[int, int]]] = {}
         for i in range(len(items)):
             n = int(first[i + 1] - first[i])
@@ -50,13 +77,12 @@ class Block:
                 width = min(window, n)
                 by_length.setdefault(width, []).append((i, n - width + 1))
         self.ids = [None if k is None else str(k) for k, _ in items]
+        self.end = first[1:]
         self.groups = []
         for width, rows in sorted(by_length.items()):
             at = np.concatenate([np.arange(first[i], first[i] + n) for i, n in rows])
             item = np.concatenate([np.full(n, i) for i, n in rows])
-            grams = hashes[at[:, None] + np.arange(width)]
-            lead = min(width, 3)
-            self.groups.append((width, lead, grams, item, at, _Filter(_lead(grams, lead))))
+            self.groups.append(Windows(self.hashes, at, item, first[item], width))
 
 
 def _lead(grams: np.ndarray, lead: int) -> np.ndarray:
@@ -110,39 +136,81 @@ def _bound(shard: np.ndarray, tests: np.ndarray, after: bool) -> np.ndarray:
     return low
 
 
-def matches(hashes: np.ndarray, first: np.ndarray, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(width, training positions, benchmark positions, items) of every window of the block in a shard."""
+def matches(hashes: np.ndarray, first: np.ndarray, block: Block) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
+    """(windows, training positions, window at each) of every window of the block in a shard, by position."""
     owner_end = first[1:]
-    for width, lead, grams, item, at, keys in block.groups:
-        n = len(hashes) - width + 1
+    for group in block.groups:
+        n = len(hashes) - group.width + 1
         if n <= 0:
             continue
-        suffixes = keys.positions(_leads(hashes, lead, n))
+        leads = _leads(hashes, group.lead, n)
+        suffixes = group.filter.positions(leads)
         document = np.searchsorted(owner_end, suffixes, side="right")
-        suffixes = suffixes[suffixes + width <= owner_end[document]]
+        suffixes = suffixes[suffixes + group.width <= owner_end[document]]
         if not len(suffixes):
             continue
-        shard = hashes[suffixes[:, None] + np.arange(width)]
+        live = np.flatnonzero(np.isin(group.key, leads[suffixes]))
+        shard = hashes[suffixes[:, None] + np.arange(group.width)]
         order = np.lexsort(shard.T[::-1])  # the shard's suffix array
         suffixes, shard = suffixes[order], shard[order]
-        live = np.flatnonzero(np.isin(grams[:, 0], shard[:, 0]))
-        low, high = _bound(shard, grams[live], False), _bound(shard, grams[live], True)
-        count = high - low
+        tests = group.grams(block.hashes, live)
+        low, high = _bound(shard, tests, False), _bound(shard, tests, True)
+        count = high - low  # windows are distinct: no suffix is found twice
         if not count.sum():
             continue
-        test = np.repeat(live, count)
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        yield width, suffixes[place], at[test], item[test]
-
-
-def _longest(position: np.ndarray, test: np.ndarray, item: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and words of the longest verbatim match through each hit."""
-    order = np.lexsort((position, position - test, item))
-    p, d, i = position[order], (position - test)[order], item[order]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (i[1:] != i[:-1])
-    begin = np.flatnonzero(new)
-    return p[begin], np.diff(np.append(begin, len(p))) + width - 1
+        window = np.repeat(live, count)
+        place = suffixes[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+        by_place = np.argsort(place)
+        yield group, place[by_place], window[by_place]
+
+
+def _starts(hashes: np.ndarray, first: np.ndarray, position: np.ndarray, window: np.ndarray, group: Windows, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(training position, benchmark place) of every match of a window that can't be carried on to the left, `most` or so at a time."""
+    left = np.where(np.isin(position, first), np.uint64(0), hashes[np.maximum(position, 1) - 1])
+    begin, end = group.first[window], group.first[window + 1]
+    # a window's places are sorted by the word before them: those with the same word as here are one run, which is left out
+    same, rest = np.empty_like(begin), np.empty_like(end)
+    for bound, after in ((same, False), (rest, True)):
+        lo, hi = begin.copy(), end.copy()
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = group.before[mid] <= left[open_] if after else group.before[mid] < left[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+        bound[:] = lo
+    none = left == 0
+    rest[none] = same[none]  # at the start of a text every place is a start
+    lo, count, p = np.concatenate([begin, rest]), np.concatenate([same - begin, end - rest]), np.concatenate([position, position])
+    keep = np.flatnonzero(count)
+    lo, count, p = lo[keep], count[keep], p[keep]
+    total = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - count[a] + most, side="right")))
+        c = count[a:b]
+        yield np.repeat(p[a:b], c), group.at[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[a:b], c)]
+        a = b
+
+
+def _longest(hashes: np.ndarray, first: np.ndarray, block: Block, position: np.ndarray, window: np.ndarray, group: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of first but the last, the words of its longest verbatim match and the word at which the first of these begins."""
+    best, place = np.zeros(len(first) - 1, dtype=np.int64), np.full(len(first) - 1, -1, dtype=np.int64)
+    for p, b in _starts(hashes, first, position, window, group):
+        row = np.searchsorted(first[1:], p, side="right")
+        most = np.minimum(first[1:][row] - p, block.end[np.searchsorted(block.end, b, side="right")] - b)
+        n = np.full(len(p), group.width, dtype=np.int64)
+        open_ = np.flatnonzero(n < most)
+        while len(open_):
+            same = hashes[p[open_] + n[open_]] == block.hashes[b[open_] + n[open_]]
+            open_ = open_[same]
+            n[open_] += 1
+            open_ = open_[n[open_] < most[open_]]
+        order = np.lexsort((p, -n, row))
+        head = order[np.append(True, row[order][1:] != row[order][:-1])]
+        better = (n[head] > best[row[head]]) | ((n[head] == best[row[head]]) & (p[head] - first[row[head]] < place[row[head]]))
+        head = head[better]
+        best[row[head]], place[row[head]] = n[head], p[head] - first[row[head]]
+    return best, place
 
 
 _SPANS = pa.list_(pa.int64())
@@ -161,18 +229,17 @@ def _search(column: pa.Array, known: pa.Array | None, block: Block) -> tuple[lis
         n_words[begin:end] = np.diff(first)
         edges = np.zeros(len(hashes) + 1, dtype=np.int32)
         found: dict[int, set[str]] = {}
-        for width, position, test, item in matches(hashes, first, block):
+        for group, position, window in matches(hashes, first, block):
             np.add.at(edges, position, 1)
-            np.add.at(edges, position + width, -1)
+            np.add.at(edges, position + group.width, -1)
             document = np.searchsorted(first[1:], position, side="right")
-            for pair in np.unique(document * len(block.ids) + item).tolist():
-                name = block.ids[pair % len(block.ids)]
-                if name is not None:
-                    found.setdefault(pair // len(block.ids), set()).add(name)
-            for p, n in zip(*_longest(position, test, item, width), strict=True):
-                k = begin + int(np.searchsorted(first[1:], p, side="right"))
-                if n > longest[k]:
-                    longest[k], place[k] = n, p - first[k - begin]
+            for pair in np.unique(document * (1 << 32) + window).tolist():
+                w = pair & 0xFFFFFFFF
+                names = (block.ids[i] for i in group.items[group.first_item[w] : group.first_item[w + 1]])
+                found.setdefault(pair >> 32, set()).update(x for x in names if x is not None)
+            n, at = _longest(hashes, first, block, position, window, group)
+            better = np.flatnonzero(n > longest[begin:end])
+            longest[begin + better], place[begin + better] = n[better], at[better]
         hit = np.cumsum(edges[:-1]) > 0
         for k in range(begin, end):
             mine = hit[first[k - begin] : first[k - begin + 1]]
