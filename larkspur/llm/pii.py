@@ -4,27 +4,31 @@ Seeds are the spans of the fixed patterns and tokens that look like secrets. Wha
 around every candidate token induces lexical patterns: the cue word and the separator before
 it, the capital prefix and length of the token itself, or the one to three words left or right
 of a seed. Patterns and instances form a bipartite graph that Spark scores in turn: a pattern
-by the mean score of its distinct instances, an instance by its seed value or its best
-pattern. Tokens found by patterns of high confidence are spans even where no seed covers them.
+by the mean value of its distinct instances, an instance by its seed value or its best accepted
+pattern, until no more patterns reach the confidence. Tokens found by accepted patterns are
+spans even where no seed covers them.
 
 Word contexts are found in passes: the contexts of seeds with their counts of distinct seeds,
 then the distinct other tokens in the same contexts, of which a task sends no more than decide
-against the context. Only contexts with a share of seeds enter the graph.
+against the context. Only contexts with a share of seeds enter the graph, and now and then one
+that shares their slot in the table that tasks look them up in; the graph's exact counts decide.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import fresh, shared_dir, staged, with_added
+from larkspur.llm.common import fresh, shared_dir, spread_join, staged, with_added
 
 # Kinds in order, and what their patterns match.
 KINDS = ("email", "ip", "card", "phone")
@@ -37,13 +41,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = str.maketrans("", "", " -().+")
 #: A cue: a word, a separator with = or :, an optional quote, then the candidate.
-_CUE = re.compile(r"(?<![^\W_])([^\W\d_]{2,24})(\x20?[=:]{1,2}\x20?[\"']?)([^\s\"',;<>]{4,})")
+_CUE = re.compile(r"(?<![^\W_])([^\W\d_]{2,}+)(\x20?[=:]{1,2}\x20?[\"']?)([^\s\"',;<>]{4,})")
 #: A candidate by its own shape: capitals and digits.
 _SHAPE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[A-Z0-9]{10,}+(?![A-Za-z0-9])")
-#: Rounds of scoring, confidence of accepted patterns, distinct instances they need.
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.75, 3
+#: Confidence of accepted patterns, distinct instances they need.
+CONFIDENCE, SUPPORT = 0.7, 3
 #: Words of a context on one side, the least share of its distinct tokens that are seeds, and the least length of a token that it adds.
 WORDS, SHARE, LEAST = 3, 0.5, 4
+#: Slots of the table in which tasks look contexts up; a power of two.
+SLOTS = 1 << 22
 #: What does not count at either end of a word.
 _EDGE = ".,;:!?()[]{}<>\"'`|*=-"
 _CHUNK = re.compile(r"\S+")
@@ -123,12 +129,12 @@ def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tupl
 
 def words(text: str) -> list[str]:
     """Lower-case words without punctuation at their ends; what is punctuation only is no word."""
-    return [v for w in text.split() if (v := w.lower().strip(_EDGE))]
+    return [v for w in text.lower().split() if (v := w.strip(_EDGE))]
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
     """The chunk between white space of each of words(text)."""
-    return [m.span() for m in _CHUNK.finditer(text) if m[0].lower().strip(_EDGE)]
+    return [m.span() for m in _CHUNK.finditer(text) if m[0].strip(_EDGE)]
 
 
 def seed_spans(base: list[tuple[str, int, int]], occ: list[tuple[int, int, str, str, bool]]) -> list[tuple[int, int]]:
@@ -150,40 +156,71 @@ def seed_contexts(text: str, seeds: list[tuple[int, int]]) -> list[tuple[str, st
 
 
 class Contexts:
-    """Word contexts to look for; a context can be dropped on the way."""
+    """Word contexts to look for, as a table of fixed size, however many there are.
 
-    def __init__(self, patterns: Iterable[str]):
-        self.live = set(patterns)
-        self.left, self.right = Counter(), Counter()
-        for p in self.live:
-            self._ends(p)[0][self._ends(p)[1]] += 1
+    A slot has the greatest worth of the contexts whose hash falls there, 0 for none. A context of several
+    words is looked for only where the nearer words alone have a worth; those above `least` are hits.
+    What shares a slot with another context may be a hit too, so exact counts must follow.
+    """
+
+    def __init__(self, worth: array, least: int = 0):
+        self.worth, self.least, self.mask = worth, least, len(worth) - 1
+        self.dropped: set[str] = set()
+        self.near: dict[str, tuple[int, ...]] = {}
 
-    def _ends(self, pattern: str) -> tuple[Counter, str]:
-        side, *ws = pattern.split(" ")
-        return (self.left, ws[-1]) if side == "left" else (self.right, ws[0])
+    def __call__(self, pattern: str) -> int:
+        return self.worth[xxhash.xxh64_intdigest(pattern.encode(), 42) & self.mask]
 
     def drop(self, pattern: str) -> None:
-        self.live.discard(pattern)
-        of, word = self._ends(pattern)
-        of[word] -= 1
-        if not of[word]:
-            del of[word]
+        self.dropped.add(pattern)
 
     def hits(self, ws: list[str]) -> list[tuple[int, str]]:
         """(word, pattern) of every word in a context."""
         out, last = [], len(ws) - 1
-        left, right, live = self.left, self.right, self.live
+        near = self.near
         for i, w in enumerate(ws):
-            if w in left and i < last:
-                out += [(i + 1, p) for n in range(1, min(WORDS, i + 1) + 1) if (p := f"left {' '.join(ws[i - n + 1 : i + 1])}") in live]
-            if w in right and i:
-                out += [(i - 1, p) for n in range(1, min(WORDS, last - i + 1) + 1) if (p := f"right {' '.join(ws[i : i + n])}") in live]
+            worth = near.get(w)
+            if worth is None:
+                pair = self("left " + w), self("right " + w)
+                worth = near[w] = pair if any(pair) else ()
+            if worth:
+                if worth[0] and i < last:
+                    out += self._grown(i + 1, worth[0], (f"left {' '.join(ws[i - n : i + 1])}" for n in range(min(WORDS, i + 1))))
+                if worth[1] and i:
+                    out += self._grown(i - 1, worth[1], (f"right {' '.join(ws[i : i + n + 1])}" for n in range(min(WORDS, last - i + 1))))
         return out
 
-
-def in_contexts(text: str, contexts: Contexts, base: list[tuple[str, int, int]] | None = None, occ: list[tuple[int, int, str, str, bool]] | None = None) -> list[tuple[int, int, str, str, bool]]:
+    def _grown(self, at: int, value: int, patterns: Iterator[str]) -> Iterator[tuple[int, str]]:
+        """(at, pattern) of the contexts among patterns, each a word longer than the one before; value: the worth of the first."""
+        for p in patterns:
+            value = value or self(p)
+            if not value:
+                return
+            if value > self.least and p not in self.dropped:
+                yield at, p
+            value = 0
+
+
+def _table(contexts: DataFrame, worth: Column, slots: int = SLOTS) -> array:
+    """The table of Contexts from (pattern, ..), combined before it reaches the driver: at most `slots` numbers."""
+    side = F.element_at("w", 1)
+    inner = F.when(side == "left", F.slice("w", F.size("w"), 1)).otherwise(F.slice("w", F.lit(2), F.lit(1)))
+    middle = F.when(F.size("w") < 4, F.slice("w", F.lit(2), F.size("w") - 1)).when(side == "left", F.slice("w", F.lit(3), F.lit(2))).otherwise(F.slice("w", F.lit(2), F.lit(2)))
+    rows = contexts.select(F.split("pattern", " ").alias("w"), "pattern", worth.cast("long").alias("worth"))
+    # the nearer words of a context lead to it
+    stems = F.array(F.struct("pattern", "worth"), *(F.struct(F.concat_ws(" ", side, x).alias("pattern"), F.lit(1).cast("long").alias("worth")) for x in (inner, middle)))
+    slot = F.xxhash64("s.pattern").bitwiseAND(F.lit(slots - 1).cast("long"))
+    got = rows.select(F.explode(stems).alias("s")).groupBy(slot.alias("slot")).agg(F.least(F.max("s.worth"), F.lit((1 << 32) - 1)).alias("worth")).toArrow()
+    if not len(got):
+        return array("I")
+    out = np.zeros(slots, dtype=np.uint32)
+    out[got["slot"].to_numpy()] = got["worth"].to_numpy()
+    return array("I", out.tobytes())
+
+
+def in_contexts(text: str | None, contexts: Contexts, base: list[tuple[str, int, int]] | None = None, occ: list[tuple[int, int, str, str, bool]] | None = None) -> list[tuple[int, int, str, str, bool]]:
     """Occurrences, as of `occurrences`, of what stands in the contexts: the span of a fixed pattern, a candidate token or else a word."""
-    if not (contexts.live and text and (hits := contexts.hits(words(text)))):
+    if not (contexts.worth and text and (hits := contexts.hits(words(text)))):
         return []
     base = base_spans(text) if base is None else base
     occ = occurrences(text, base) if occ is None else occ
@@ -247,8 +284,8 @@ def _pairs(docs: DataFrame, text_col: str, of) -> DataFrame:
     return docs.select(f"`{text_col}`").mapInArrow(run, "pattern string, instance string")
 
 
-def word_contexts(docs: DataFrame, *, text_col: str, support: int = SUPPORT, share: float = SHARE) -> list[str]:
-    """The contexts of at least `support` distinct seeds that make up at least `share` of the distinct tokens there.
+def word_contexts(docs: DataFrame, *, text_col: str, support: int = SUPPORT, share: float = SHARE, slots: int = SLOTS) -> DataFrame:
+    """(pattern): contexts of at least `support` distinct seeds that make up at least `share` of the distinct tokens there.
 
     A task stops counting the other tokens of a context once they are too many for the share, and
     sends one row for it. So common contexts stay small, and none that has the share is lost.
@@ -260,22 +297,20 @@ def word_contexts(docs: DataFrame, *, text_col: str, support: int = SUPPORT, sha
             yield from seed_contexts(t, seed_spans(base, occurrences(t, base)))
 
     found = _pairs(docs, text_col, seeded).groupBy("pattern", "instance").agg(F.lit(1).alias("one"))
-    counts = {r["pattern"]: r["n"] for r in found.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).collect()}
-    if not counts:
-        return []
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    counts = staged(found.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "seeded")
+    most = (1 - share) / share
+    shared = docs.sparkSession.sparkContext.broadcast(_table(counts, F.col("n"), slots))
 
     def others(texts: Iterator[str]) -> Iterator[tuple[str, str | None]]:
-        most = {p: n * (1 - share) / share for p, n in shared.value.items()}
-        contexts = Contexts(most)
+        contexts = Contexts(shared.value)
         seen: dict[str, set[str]] = {}
         for t in texts:
             for _, _, p, token, seed in in_contexts(t, contexts):
-                if seed or p not in contexts.live:
+                if seed or p in contexts.dropped:
                     continue
                 of = seen.setdefault(p, set())
                 of.add(token)
-                if len(of) > most[p]:
+                if len(of) > contexts(p) * most:
                     del seen[p]
                     contexts.drop(p)
                     yield p, None
@@ -284,23 +319,23 @@ def word_contexts(docs: DataFrame, *, text_col: str, support: int = SUPPORT, sha
                 yield p, token
 
     pairs = _pairs(docs, text_col, others).groupBy("pattern", "instance").agg(F.lit(1).alias("one"))
-    rest = pairs.groupBy("pattern").agg(F.count("*").alias("n"), F.max(F.col("instance").isNull()).alias("over"))
-    # few against the tokens: one row for a context that is seeded
-    other = {r["pattern"]: None if r["over"] else r["n"] for r in rest.collect()}
-    return sorted(p for p, n in counts.items() if (m := other.get(p, 0)) is not None and m <= n * (1 - share) / share)
+    rest = pairs.groupBy("pattern").agg(F.count("*").alias("others"), F.max(F.col("instance").isNull()).alias("over"))
+    judged = counts.join(rest, "pattern", "left")
+    return staged(judged.where(~F.coalesce("over", F.lit(False)) & (F.coalesce("others", F.lit(0)) <= F.col("n") * most)).select("pattern"), "contexts")
 
 
-def scanned(docs: DataFrame, *, text_col: str, keep: list[str], base_col: str, occ_col: str, row_col: str, contexts: Iterable[str] = ()) -> DataFrame:
+def scanned(docs: DataFrame, *, text_col: str, keep: list[str], base_col: str, occ_col: str, row_col: str, contexts: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The keep columns, base spans, occurrences and a row number, as a staged table."""
-    shared = docs.sparkSession.sparkContext.broadcast(list(contexts))
+    shared = docs.sparkSession.sparkContext.broadcast(_table(contexts, F.lit(2), slots))
+    held: list[Contexts] = []
 
     def run(column: pa.Array) -> list[pa.Array]:
         texts = column.to_pylist()
         base = [base_spans(t) for t in texts]
         occ = [occurrences(t, b) for t, b in zip(texts, base, strict=True)]
-        if shared.value:
-            around = Contexts(shared.value)
-            occ = [[*o, *in_contexts(t, around, b, o)] for t, b, o in zip(texts, base, occ, strict=True)]
+        if not held:
+            held.append(Contexts(shared.value, 1))
+        occ = [[*o, *in_contexts(t, held[0], b, o)] for t, b, o in zip(texts, base, occ, strict=True)]
         return [_rows(("kind", "start", "end"), base, _SPAN_ARROW), _rows(("start", "end", "pattern", "instance", "seed"), occ, _OCC_ARROW)]
 
     columns = list(dict.fromkeys([*keep, text_col]))
@@ -308,24 +343,31 @@ def scanned(docs: DataFrame, *, text_col: str, keep: list[str], base_col: str, o
     return staged(marked.select(*(f"`{c}`" for c in keep), base_col, occ_col, F.monotonically_increasing_id().alias(row_col)), "pii")
 
 
-def confident_patterns(occ: DataFrame, *, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def confident_patterns(occ: DataFrame, *, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern, score) of accepted patterns from occurrences (pattern, instance, seed).
 
     One row stands for each distinct (pattern, instance), so copies of a text add nothing. A
-    pattern's score is the sum of its instances' scores over their number plus one half.
+    pattern's score is the sum of its instances' values over their number plus one half; an
+    instance's value is 1 for a seed and else the best score of an accepted pattern that has it. Rounds
+    go on while patterns are accepted: values only grow, so it ends.
     """
-    graph = occ.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")).checkpoint()
-    now = graph.select("pattern", "instance", "seed", F.col("seed").alias("value"))
-    scores = None
-    for _ in range(rounds):
-        scores = now.groupBy("pattern").agg((F.sum("value") / (F.count("*") + 0.5)).alias("score"), F.count("*").alias("n")).checkpoint()
-        best = graph.join(scores.where(F.col("n") >= support), "pattern").groupBy("instance").agg(F.max("score").alias("best"))
-        now = graph.join(best, "instance", "left").select("pattern", "instance", "seed", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("value"))
-    return scores.where((F.col("score") >= confidence) & (F.col("n") >= support)).select("pattern", "score")
+    graph = staged(occ.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), "graph")
+    degrees = staged(graph.groupBy("instance").agg(F.count("*").alias("rows")), "instances")
+    total, accepted = degrees.agg(F.sum("rows")).first()[0] or 0, 0
+    now = graph.withColumn("value", F.col("seed"))
+    while True:
+        scores = now.groupBy("pattern").agg((F.sum("value") / (F.count("*") + 0.5)).alias("score"), F.count("*").alias("rows"))
+        good = staged(scores.where((F.col("score") >= confidence) & (F.col("rows") >= support)), "patterns")
+        if (n := good.count()) == accepted:
+            return good.select("pattern", "score")
+        accepted = n
+        best = spread_join(graph.select("pattern", "instance"), good, "pattern", "rows", total=total).groupBy("instance").agg(F.max("score").alias("best"))
+        known = staged(best.join(degrees, "instance"), "known")
+        now = spread_join(graph, known, "instance", "rows", total=total, how="left").withColumn("value", F.greatest("seed", F.coalesce("best", F.lit(0.0))))
 
 
 def find_personal(docs: DataFrame, *, text_col: str = "text", keep: list[str], **kw) -> tuple[DataFrame, str, str]:
-    """The keep columns of each row plus base spans and all spans (names are returned too).
+    """The keep columns of each row, whatever their names, plus base spans and all spans (names are returned too).
 
     Spans are structs of kind, start, end in code points; added ones have kind `context`, do not
     overlap base spans or one another, and come last. Null and empty texts have none. Repeated
@@ -337,15 +379,17 @@ def find_personal(docs: DataFrame, *, text_col: str = "text", keep: list[str], *
     table = scanned(docs, text_col=text_col, keep=keep, base_col=base, occ_col=occ, row_col=row, contexts=contexts)
     flat = table.where(F.size(occ) > 0).select(F.col(row).alias("row"), F.col(base).alias("base"), F.explode(occ).alias("o")).select("row", "base", "o.*")
     good = confident_patterns(flat.select("pattern", "instance", "seed"), **kw)
-    found = flat.join(good, "pattern", "left_semi").where(F.col("end") - F.col("start") >= LEAST)
+    counted = staged(flat.groupBy("pattern").agg(F.count("*").alias("rows")).join(good, "pattern").select("pattern", "rows"), "accepted")
+    found = spread_join(flat, counted, "pattern", "rows").where(F.col("end") - F.col("start") >= LEAST)
     found = found.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
-    added = found.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_added"))
+    of_row, more = fresh([*docs.columns, base, occ, row], "of_row"), fresh([*docs.columns, base, occ, row], "added_spans")
+    added = found.groupBy(F.col("row").alias(of_row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(more))
     # of overlapping ones the first stays; a row's spans are bounded by its text
     seed = F.expr("struct(cast(array() as array<struct<start:bigint,end:bigint>>) as kept, -1L as last)")
-    apart = F.aggregate("_added", seed, lambda a, x: F.when(x["start"] >= a["last"], F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), x["end"].alias("last"))).otherwise(a), lambda a: a["kept"])
+    apart = F.aggregate(F.col(more), seed, lambda a, x: F.when(x["start"] >= a["last"], F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), x["end"].alias("last"))).otherwise(a), lambda a: a["kept"])
     extra = F.transform(F.coalesce(apart, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")), lambda x: F.struct(F.lit(CONTEXT).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    spans = fresh([*docs.columns, base], "all_spans")
-    joined = table.join(added, F.col(row) == F.col("_row"), "left")
+    spans = fresh([*docs.columns, base, occ, row], "all_spans")
+    joined = table.join(added, F.col(row) == F.col(of_row), "left")
     return joined.select(*(f"`{c}`" for c in keep), base, F.concat(F.col(base), extra).alias(spans)), base, spans
 
 
