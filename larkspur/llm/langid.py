@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import textvec
-from larkspur.llm.common import raw_texts, slices, with_added
+from larkspur.llm.common import raw_texts, slices, staged, with_added
 
 #: Bytes in an n-gram, probes of a look-up, log2 of the slots.
 GRAM, PROBES, LOG_SLOTS = 4, 2, 20
-#: Expected number of texts of each language that train the filters, and languages at most.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 400, 256
+#: Expected number of texts of each language that train the filters.
+SAMPLE_PER_LANGUAGE = 400
 UNDETERMINED = "und"
 
 _TO_LETTERS = bytes(b if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256)).lower()
@@ -58,18 +58,16 @@ class Filters:
         return (gram + np.uint64(1)) * _MIX[k] >> np.uint64(64 - LOG_SLOTS)
 
     @classmethod
-    def build(cls, languages: list[str], members: list[np.ndarray]) -> Filters:
-        width = max(1, -(-len(languages) // 64))
-        slots = np.zeros((1 << LOG_SLOTS, width), dtype=np.uint64)
-        for i, gram in enumerate(members):
-            for k in range(PROBES):
-                slots[np.unique(cls.probe(gram, k)), i // 64] |= np.uint64(1 << (i % 64))
+    def of(cls, languages: list[str], slot: np.ndarray, word: np.ndarray, bits: np.ndarray) -> Filters:
+        """Filters from distinct (slot, word) and the word's bits."""
+        slots = np.zeros((1 << LOG_SLOTS, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+        slots[slot, word] = bits
         fill = np.array([np.mean((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(languages))])
         return cls(languages, slots, fill**PROBES)
 
     def sets(self, gram: np.ndarray) -> np.ndarray:
         """The bit mask of languages that may contain each n-gram."""
-        out = self.slots[self.probe(gram, 0)]
+        out = self.slots[self.probe(gram, 0)]  # a copy
         for k in range(1, PROBES):
             out &= self.slots[self.probe(gram, k)]
         return out
@@ -101,44 +99,57 @@ def has_letter(text: bytes | None) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, ratio: float = 0.5, least: int = 2) -> Filters:
-    """Filters from about per_language texts of each language (by id hash); pass docs without held-out rows.
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, ratio: float = 0.5, least: int = 2) -> Filters:
+    """Filters from about per_language texts of each language, by a hash of id and text; pass docs without held-out rows.
 
-    An n-gram enters every language in which its rate is at least `ratio` of its highest rate.
+    An n-gram enters every language in which its rate is at least `ratio` of its highest rate. Every
+    language gets a filter. Null languages teach nothing; null and empty texts and texts without
+    n-grams add none; repeated rows are sampled together; an empty table gives no languages, and then every
+    text is `und`. Other columns do not matter. The bits are set in the engine: what reaches the
+    driver is a number for each slot and 64 languages.
     """
-    known = docs.where(F.col(f"`{lang_col}`").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy(F.col(f"`{lang_col}`").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    if not sizes:
-        return Filters.build([], [])
-    languages = sorted(sizes)
-    share = F.create_map(*(x for name in languages for x in (F.lit(name), F.lit(min(1.0, per_language / sizes[name])))))
-    index = F.create_map(*(x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))))
-    h = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    part = known.where(h < F.coalesce(F.try_element_at(share, F.col(f"`{lang_col}`")), F.lit(0.0))).select(F.try_element_at(index, F.col(f"`{lang_col}`")).alias("i"), F.col(f"`{text_col}`").alias("text"))
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`")
+    h = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), text, F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sizes = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n"), F.min(h).alias("low")).orderBy("lang").collect()  # one row a language
+    languages = [r["lang"] for r in sizes]
+    if not languages:
+        return Filters.of([], np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
+    index = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, per_language / r["n"]), r["low"]) for i, r in enumerate(sizes)], "lang string, i int, share double, low double")
+    part = docs.select(lang.alias("lang"), h.alias("h"), text.alias("text")).join(F.broadcast(index), "lang").where("h < share or h <= low").select("i", "text")
 
     def count(batches):
         for b in batches:
-            texts, lang = raw_texts(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+            texts, of = raw_texts(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
             for begin, end in slices(texts):
                 data, offsets = textvec.joined(texts[begin:end])
                 row, gram = grams(data, offsets)
-                key, n = np.unique((lang[begin:end][row].astype(np.uint64) << np.uint64(32)) | gram, return_counts=True)
+                key, n = np.unique((of[begin:end][row].astype(np.uint64) << np.uint64(32)) | gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    table = part.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    key, n = table["key"].to_numpy(dtype=np.int64).view(np.uint64), table["n"].to_numpy(dtype=np.float64)
-    lang, gram = (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
-    rate = n / np.maximum(np.bincount(lang, n, len(languages)), 1)[lang]
-    kinds, place = np.unique(gram, return_inverse=True)
-    top = np.zeros(len(kinds))
-    np.maximum.at(top, place, rate)
-    enters = rate >= ratio * top[place]
-    return Filters.build(languages, [gram[enters & (lang == i)] for i in range(len(languages))])
+    counts = part.mapInArrow(count, "key long, n long").groupBy(F.shiftright("key", 32).alias("i"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = staged(counts, "grams")
+    rates = counts.join(F.broadcast(counts.groupBy("i").agg(F.sum("n").alias("all"))), "i").withColumn("rate", F.col("n") / F.col("all"))  # one row a language
+    tops = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("of"))  # one entry a language
+    members = tops.select("gram", F.explode(F.filter("of", lambda x: x["rate"] >= ratio * F.col("top"))).alias("m")).select("gram", F.col("m.i").alias("i"))
+
+    def slots_of(batches):
+        for b in batches:
+            gram, i = b.column(0).to_numpy().astype(np.uint64), b.column(1)
+            for k in range(PROBES):
+                yield pa.RecordBatch.from_arrays([pa.array(Filters.probe(gram, k).astype(np.int64)), i], names=["slot", "i"])
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("i") % 64).cast("int"))
+    got = members.mapInArrow(slots_of, "slot long, i long").groupBy("slot", F.floor(F.col("i") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    return Filters.of(languages, *(got[n].to_numpy().astype(np.int64) for n in ("slot", "word")), got["bits"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def identify(docs: DataFrame, filters: Filters, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs plus language and score of the whole text; `und` and 0 for null texts and texts without a letter."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 of at most max_languages languages
+    """docs plus language and score of the whole text; `und` and 0 for null texts and texts without a letter.
+
+    Of languages with equal counts the first by code point wins. Repeated rows get equal results, an
+    empty table none; columns named like the new ones are replaced.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 languages
 
     def run(column: pa.Array) -> list[pa.Array]:
         names, score = held.value.predict(raw_texts(column))
