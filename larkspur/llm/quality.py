@@ -2,25 +2,32 @@
 
 DataFrame functions only. Every text becomes counts; transformed, they form a vector. For
 each language and source a concentration loop finds the subset whose covariance has the
-least determinant: start from medians and median deviations, then take in turn the mean and
-covariance of the closest three quarters and the Mahalanobis distances to them. Sums are
+least determinant. It has several starts: the medians and median deviations of the whole, and
+lower and upper quantiles with deviations from them. From each it takes in turn the mean and
+covariance of the closest three quarters and the Mahalanobis distances to them; a step counts
+only if the determinant falls, and the start that ends with the least is used. Sums are
 combined before each shuffle and the quantiles are taken over values on a fixed grid, so no
-group, however large, gathers in one task. Rows beyond the cutoff are rejected.
+group, however large, gathers in one task. Rows beyond a quantile of chi-square are rejected.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import SPACE, fresh, shared_dir, staged
 
 #: Symbols that count against a text.
 SYMBOLS = r"[^#*$%&|<>]++"
-#: Steps of the concentration loop, share of the subset, rows that a group needs, squared distance of the cutoff.
-STEPS, SHARE, LEAST_ROWS, CUTOFF = 3, 0.75, 50, 40.0
+#: Steps of the concentration loop, share of the subset, rows that a group needs.
+STEPS, SHARE, LEAST_ROWS = 3, 0.75, 50
+#: Quantiles of each statistic that are the centres of the starts.
+STARTS = (0.5, 0.3, 0.7)
+#: The share of rows of a normal vector that lie beyond the cutoff. Texts are no normal vectors, so it is small.
+LEVEL = 1.5e-7
 #: Fractions of one on the grid over which medians and quantiles are exact.
 GRID = 512.0
 #: Least standard deviation of each transformed statistic, in the order of `vector`.
@@ -36,10 +43,12 @@ def _repeat_words(words: Column, n: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the array.
 
     A window's key is its hash with its position in the low bits; sorted, equal windows are
-    neighbours. A text of n words leaves 64 - log2(n) hash bits; equal keys of neighbours
-    count only where their words agree too, so a collision cannot add words.
+    neighbours. A text of n words leaves 64 - log2(n) hash bits. Should different windows share
+    them, the text is done again with the windows themselves as keys.
     """
-    def windows(w: Column) -> Column:
+    long = F.lit(0).cast("long")
+
+    def by_hash(w: Column) -> Column:
         shift = F.ceil(F.log2(F.size(w) + F.lit(1.0))).cast("int")
 
         def keyed(s: Column) -> Column:
@@ -47,28 +56,36 @@ def _repeat_words(words: Column, n: Column) -> Column:
                 F.sequence(F.lit(1), F.size(w) - 2),
                 lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)), s).bitwiseOR((i - 1).cast("long")),
             )
-            return let(F.sort_array(keys), lambda k: covered(k, s, w))
+            return let(F.sort_array(keys), lambda k: let(positions(k, s, w), lambda p: F.when(F.array_contains(p, -1), by_words(w)).otherwise(let(F.array_sort(F.array_distinct(p)), spread))))
 
         return let(shift, keyed)
 
-    def covered(k: Column, s: Column, w: Column) -> Column:
+    def positions(k: Column, s: Column, w: Column) -> Column:
+        """Where the windows stand whose neighbours are equal; -1 for equal hashes of different windows."""
+
         def equal(a: Column, b: Column) -> Column:
             return F.call_function("shiftrightunsigned", a.bitwiseXOR(b), s) == 0
 
         def place(x: Column) -> Column:
             return x.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.expr("-1L"), s)))
 
-        pairs = F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda a, b: F.when(equal(a, b), F.array(place(a), place(b))))
-        same = F.filter(pairs, lambda p: p.isNotNull() & (F.slice(w, F.get(p, 0).cast("int") + 1, F.lit(3)) == F.slice(w, F.get(p, 1).cast("int") + 1, F.lit(3))))
-        at = F.flatten(same)
-        return F.when(F.size(k) < 2, F.lit(0).cast("long")).otherwise(let(F.array_sort(F.array_distinct(at)), spread))
+        def both(a: Column, b: Column) -> Column:
+            same = F.slice(w, place(a).cast("int") + 1, F.lit(3)) == F.slice(w, place(b).cast("int") + 1, F.lit(3))
+            return F.when(equal(a, b), F.when(same, F.array(place(a), place(b))).otherwise(F.array(F.lit(-1).cast("long"))))
+
+        return F.flatten(F.array_compact(F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), both)))
+
+    def by_words(w: Column) -> Column:
+        keys = F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.slice(w, i, F.lit(3)).alias("g"), (i - 1).cast("long").alias("at"))))
+        pairs = let(keys, lambda k: F.flatten(F.array_compact(F.zip_with(F.slice(k, F.lit(1), F.size(k) - 1), F.slice(k, F.lit(2), F.size(k) - 1), lambda a, b: F.when(a["g"] == b["g"], F.array(a["at"], b["at"]))))))
+        return let(pairs, lambda p: let(F.array_sort(F.array_distinct(p)), spread))
 
     def spread(p: Column) -> Column:
         """Words covered by windows of three that start at the sorted positions p."""
-        state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
+        state = F.struct(long.alias("n"), F.lit(-3).cast("long").alias("last"))
         return F.aggregate(p, state, lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
 
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(windows(words))
+    return F.when(n < 4, long).otherwise(by_hash(words))
 
 
 def statistics(df: DataFrame, text_col: str, name: str = "stats") -> DataFrame:
@@ -138,32 +155,41 @@ def _salted(rows: DataFrame, groups: DataFrame, salts: int) -> DataFrame:
     return rows.join(many, ["g", "salt"])
 
 
-def estimates(rows: DataFrame, p: int, *, steps: int = STEPS, share: float = SHARE, floors: tuple[float, ...] = FLOORS, salts: int = 16) -> DataFrame:
-    """Per group g: centre c0.., factor l_i_j and the scale that makes the median squared distance that of a normal vector.
+def estimates(rows: DataFrame, p: int, *, steps: int = STEPS, share: float = SHARE, starts: tuple[float, ...] = STARTS, floors: tuple[float, ...] = FLOORS, salts: int = 16) -> DataFrame:
+    """Per group g: centre c0.., factor l_i_j, the log determinant, the start, and the scale that makes the median squared distance that of a normal vector.
 
     rows: g, salt, x0... The groups' table is cut with checkpoint() after each step.
     """
     shared_dir(rows.sparkSession)
-    mid = rows.groupBy("g").agg(*(F.percentile(f"x{i}", 0.5).alias(f"c{i}") for i in range(p)))
-    spread = _salted(rows, mid, salts).groupBy("g").agg(*(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"s{i}") for i in range(p)))
-    now = mid.join(spread, "g").select(
-        "g", *(f"c{i}" for i in range(p)), *((F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1))
-    ).checkpoint()
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     names = [f"l_{i}_{j}" for i, j in pairs]
+    centres = [f"c{i}" for i in range(p)]
+    mid = rows.groupBy("g").agg(*(F.percentile(f"x{i}", list(starts)).alias(f"q{i}") for i in range(p)))
+    mid = mid.select("g", F.explode(F.arrays_zip(F.array(*(F.lit(i) for i in range(len(starts)))).alias("start"), *(f"q{i}" for i in range(p)))).alias("m")).select("g", "m.start", *(F.col(f"m.q{i}").alias(f"c{i}") for i in range(p))).checkpoint()
+    spread = _salted(rows, mid, salts).groupBy("g", "start").agg(*(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5).alias(f"s{i}") for i in range(p)))
+    now = mid.join(spread, ["g", "start"]).select(
+        "g", "start", *centres, *((F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in pairs), F.lit(float("inf")).alias("logdet")
+    ).checkpoint()
     for _ in range(steps):
-        near = _distance(_salted(rows, now, salts), p)
-        limit = near.groupBy("g").agg(F.percentile("step", share).alias("limit")).checkpoint()
-        inside = _salted(near.select("g", "salt", "step", *(F.col(f"x{i}") for i in range(p)), *(f"c{i}" for i in range(p))), limit, salts).where("step <= ceil(limit)")
+        # one aggregation by distance bin serves for the quantile and for the sums of those inside it
+        near = _distance(_salted(rows, now.drop("logdet"), salts), p)
         off = [F.col(f"x{i}") - F.col(f"c{i}") for i in range(p)]  # shifted by the old centre: sums of small numbers
-        sums = inside.groupBy("g").agg(F.count("*").alias("m"), *(F.first(f"c{i}").alias(f"o{i}") for i in range(p)), *(F.sum(off[i]).alias(f"a{i}") for i in range(p)), *(F.sum(off[i] * off[j]).alias(f"b_{i}_{j}") for i, j in pairs))
+        added = {"m": F.lit(1)} | {f"a{i}": off[i] for i in range(p)} | {f"b_{i}_{j}": off[i] * off[j] for i, j in pairs}
+        bins = near.groupBy("g", "start", "step").agg(*(F.first(f"c{i}").alias(f"o{i}") for i in range(p)), *(F.sum(x).alias(n) for n, x in added.items()))
+        group = Window.partitionBy("g", "start")
+        bins = bins.withColumn("nearer", F.sum("m").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).withColumn("all", F.sum("m").over(group))
+        sums = bins.where(F.col("nearer") < share * F.col("all")).groupBy("g", "start").agg(*(F.first(f"o{i}").alias(f"o{i}") for i in range(p)), *(F.sum(n).alias(n) for n in added))
         cov = {(i, j): F.col(f"b_{i}_{j}") / F.col("m") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("m") / F.col("m") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0)) for i, j in pairs}
         made = sums
         for name, column in _cholesky(cov, p)[1]:
             made = made.withColumn(name, column)
-        now = made.select("g", *((F.col(f"o{i}") + F.col(f"a{i}") / F.col("m")).alias(f"c{i}") for i in range(p)), *names).checkpoint()
-    last = _distance(_salted(rows, now, salts), p).groupBy("g").agg((F.pow(F.lit(2.0), F.percentile("step", 0.5) / 32) / F.lit(_median_chi2(p))).alias("scale"))
-    return now.join(last, "g").withColumn("scale", F.greatest("scale", F.lit(1.0)))
+        stepped = made.select("g", "start", F.struct(_add([F.log(F.col(f"l_{i}_{i}")) * 2 for i in range(p)]).alias("logdet"), *((F.col(f"o{i}") + F.col(f"a{i}") / F.col("m")).alias(f"c{i}") for i in range(p)), *names).alias("new"))
+        old = F.struct("logdet", *centres, *names)
+        better = F.when(F.col("new.logdet") < F.col("logdet"), F.col("new")).otherwise(old)
+        now = now.join(stepped, ["g", "start"]).select("g", "start", better.alias("m")).select("g", "start", "m.*").checkpoint()
+    best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", *centres, *names)).alias("m")).select("g", "m.*").checkpoint()
+    last = _distance(_salted(rows, best.drop("logdet", "start"), salts), p).groupBy("g").agg((F.pow(F.lit(2.0), F.percentile("step", 0.5) / 32) / F.lit(_median_chi2(p))).alias("scale"))
+    return best.join(last, "g").withColumn("scale", F.greatest("scale", F.lit(1.0)))
 
 
 def _median_chi2(p: int) -> float:
@@ -171,17 +197,44 @@ def _median_chi2(p: int) -> float:
     return p * (1 - 2 / (9 * p)) ** 3
 
 
-def judged(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str], least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF, salts: int = 16, **kw) -> tuple[DataFrame, str]:
-    """The `keep` columns of each row plus a struct (its name is returned too): the statistics, base_failed, d2, kept.
+def chi2_beyond(x: float, p: int) -> float:
+    """The share of chi-square with p degrees of freedom beyond x."""
+    h, total = x / 2, 0.0
+    if p % 2:
+        term = math.sqrt(h / math.pi) * 2 * math.exp(-h)
+        total = math.erfc(math.sqrt(h))
+        for k in range(1, p, 2):
+            total += term
+            term *= h / (k / 2 + 1)
+        return total
+    term = math.exp(-h)
+    for k in range(p // 2):
+        total += term
+        term *= h / (k + 1)
+    return total
+
+
+def chi2_cutoff(level: float, p: int) -> float:
+    """The value beyond which chi-square with p degrees of freedom has the share `level`."""
+    low, high = 0.0, 1.0
+    while chi2_beyond(high, p) > level:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_beyond(mid, p) > level else (low, mid)
+    return high
+
+
+def judged(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str], least_rows: int = LEAST_ROWS, level: float = LEVEL, salts: int = 16, **kw) -> tuple[DataFrame, str]:
+    """The `keep` columns of each row, whatever their names, plus a struct (its name is returned too): the statistics, base_failed, d2, kept.
 
     Null texts count as empty. A null language or source is a group like any other. Groups of fewer
-    than least_rows rows that pass the base limits are judged together by language, then all
-    together; while that is too few as well, the base limits decide alone. Repeated rows, ties and
-    empty tables need no special case.
+    than least_rows rows that pass the base limits have too few to estimate a covariance: they are
+    judged together by language, then all together; while that is too few as well, the base limits
+    decide alone. Repeated rows, ties and empty tables need no special case.
     """
-    s = fresh(docs.columns, "stats")
-    g, salt = fresh([*docs.columns, s], "group_key"), fresh([*docs.columns, s], "salt_key")
-    source_rows = docs.select(*dict.fromkeys([*keep, *(c for c in (text_col, lang_col, source_col) if c in docs.columns)]))
+    s, g, salt, of, of_group, of_salt = (fresh(docs.columns, n) for n in ("stats", "group_key", "salt_key", "model", "model_group", "model_salt"))
+    source_rows = docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, *(c for c in (text_col, lang_col, source_col) if c in docs.columns)])))
     lang = F.coalesce(F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string")), F.lit("null")) if lang_col in docs.columns else F.lit("all")
     source = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null")) if source_col in docs.columns else F.lit("all")
     table = statistics(source_rows, text_col, s).withColumn(g, F.to_json(F.struct(lang.alias("l"), source.alias("s"))))
@@ -203,17 +256,17 @@ def judged(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
     model = estimates(points, p, salts=salts, **kw)
     params = named.join(model.withColumnRenamed("g", "pool"), "pool").drop("pool").checkpoint()
     many = params.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    many = many.select(F.struct(*params.columns).alias("_m"), F.col("g").alias("_g"), F.col("salt").alias("_salt"))
-    joined = table.join(many, (F.col(g) == F.col("_g")) & (F.col(salt) == F.col("_salt")), "left")
+    many = many.select(F.struct(*params.columns).alias(of), F.col("g").alias(of_group), F.col("salt").alias(of_salt))
+    joined = table.join(many, (F.col(g) == F.col(of_group)) & (F.col(salt) == F.col(of_salt)), "left")
     z: list[str] = []
     for i in range(p):
-        rest = [F.col(f"_m.l_{i}_{k}") * F.col(f"_z{k}") for k in range(i)]
-        top = x[i] - F.col(f"_m.c{i}")
-        joined = joined.withColumn(f"_z{i}", (top - _add(rest) if rest else top) / F.col(f"_m.l_{i}_{i}"))
-        z.append(f"_z{i}")
-    d2 = _add([F.col(n) * F.col(n) for n in z]) / F.col("_m.scale")
+        rest = [F.col(f"{of}.l_{i}_{k}") * F.col(f"`{z[k]}`") for k in range(i)]
+        top = x[i] - F.col(f"{of}.c{i}")
+        z.append(fresh([*docs.columns, s, of], f"z{i}"))
+        joined = joined.withColumn(z[i], (top - _add(rest) if rest else top) / F.col(f"{of}.l_{i}_{i}"))
+    d2 = _add([F.col(f"`{n}`") * F.col(f"`{n}`") for n in z]) / F.col(f"{of}.scale")
     failed = base_failed(s)
-    verdict = F.struct(f"{s}.*", failed.alias("base_failed"), d2.alias("d2"), (~failed & F.coalesce(d2 <= cutoff, F.lit(True))).alias("kept"))
+    verdict = F.struct(f"{s}.*", failed.alias("base_failed"), d2.alias("d2"), (~failed & F.coalesce(d2 <= chi2_cutoff(level, p), F.lit(True))).alias("kept"))
     return joined.select(*(f"`{c}`" for c in keep), verdict.alias(s)), s
 
 
