@@ -1,9 +1,13 @@
 """A toxicity classifier with counterfactual regularisation.
 
 A logistic model over word presence is fitted on a bounded sample of labelled texts. Every
-sampled text with an identity term also has a twin in which each term is swapped for the
-next of its kind; the loss adds the squared change of the score between the two. So the
-model cannot lean on a mention of a group, and neutral mentions are not scored up.
+sampled text with a term that could as well be another has a twin in which each such term is swapped;
+the loss adds the squared change of the score between the two. So the model cannot lean on a
+mention of a group, and neutral mentions are not scored up.
+
+Terms are the identity terms of a fixed list, and pairs learned from the labelled texts: frequent
+words that both classes have at like rates, each with the one that stands most in the same
+contexts. So there are twins in any language and whether or not a listed term occurs.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import textvec
-from larkspur.llm.common import raw_texts, slices, with_added
+from larkspur.llm.common import raw_texts, slices, staged, with_added
 
 # Identity terms that stand for one another, a kind per line.
 IDENTITY_TERMS = (
@@ -42,6 +46,8 @@ IDENTITY_TERMS = (
 )
 #: Labelled texts of each class that are used at most.
 SAMPLE_PER_CLASS = 2500
+#: Words that are paired by their contexts at most, the hash buckets of a context word on one side, the least cosine of a pair.
+PAIRED, BUCKETS, LIKENESS = 256, 512, 0.3
 
 
 def text_words(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,18 +63,20 @@ def hash_word(word: str) -> np.uint64:
     return next(text_words([word.encode()]))[3][0]
 
 
-def swaps() -> dict[int, int]:
+def identity_swaps() -> dict[int, int]:
     """The hash of each identity term and of the term that replaces it."""
     return {int(hash_word(a)): int(hash_word(b)) for kind in IDENTITY_TERMS for a, b in zip(kind, kind[1:] + kind[:1], strict=True)}
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted word hashes, their weights and the intercept."""
+    """Sorted word hashes, their weights and the intercept; the twins it was fitted with and the mean absolute change of the score between twins."""
 
     words: np.ndarray
     weights: np.ndarray
     bias: float
+    twins: int = 0
+    change: float = 0.0
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
@@ -87,22 +95,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(bags: list[np.ndarray], toxic: np.ndarray, base_rate: float, *, penalty: float = 4.0, ridge: float = 0.02, least: int = 4, z: float = 4.0, steps: int = 400) -> Model:
-    """Logistic regression on word presence; `penalty` weighs squared score changes between counterfactual twins."""
+def _gains(positive: np.ndarray, every: np.ndarray, rate: float) -> np.ndarray:
+    """Roots of the likelihood ratios of words' class counts."""
+    negative = every - positive
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(positive > 0, positive * np.log(positive / (every * rate)), 0) + np.where(negative > 0, negative * np.log(negative / (every * (1 - rate))), 0)
+    return np.sqrt(2 * np.maximum(gain, 0))
+
+
+def neutral_words(bags: list[np.ndarray], toxic: np.ndarray, *, most: int = PAIRED, least: int = 4, z: float = 1.0) -> np.ndarray:
+    """Sorted hashes of the words in most texts that both classes have at like rates."""
+    if not len(bags) or toxic.min() == toxic.max():
+        return np.empty(0, dtype=np.uint64)
+    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    vocabulary, column = np.unique(np.concatenate(bags), return_inverse=True)
+    positive, every = np.bincount(column, toxic[rows], len(vocabulary)), np.bincount(column, minlength=len(vocabulary))
+    good = np.flatnonzero((every >= least) & (positive > 0) & (positive < every) & (_gains(positive, every, float(toxic.mean())) < z))
+    return np.sort(vocabulary[good[np.lexsort((vocabulary[good], -every[good]))][:most]])
+
+
+def learned_swaps(words: np.ndarray, contexts: np.ndarray, likeness: float = LIKENESS) -> dict[int, int]:
+    """Each word with the other whose contexts (a row of counts a word) are most like its own, if their cosine is at least likeness."""
+    if len(words) < 2:
+        return {}
+    m = np.sqrt(contexts)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    like = m @ m.T
+    np.fill_diagonal(like, -1)
+    near = like.argmax(axis=1)
+    return {int(words[i]): int(words[j]) for i, j in enumerate(near) if like[i, j] >= likeness}
+
+
+def fit(
+    bags: list[np.ndarray], toxic: np.ndarray, base_rate: float, *, swaps: dict[int, int] | None = None, penalty: float = 4.0, ridge: float = 0.02, least: int = 4, z: float = 4.0, steps: int = 400
+) -> Model:
+    """Logistic regression on word presence; `penalty` weighs squared score changes between counterfactual twins, made with swaps and the identity terms."""
     toxic = np.asarray(toxic, dtype=np.float64)
     if not len(bags) or toxic.min() == toxic.max():
         rate = float(np.clip(base_rate, 1e-3, 1 - 1e-3))
         return Model(np.empty(0, dtype=np.uint64), np.empty(0), float(np.log(rate / (1 - rate))))
-    swap = swaps()
+    swap = (swaps or {}) | identity_swaps()
     rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     vocabulary, column = np.unique(np.concatenate(bags), return_inverse=True)
     positive = np.bincount(column, toxic[rows], len(vocabulary))
     every = np.bincount(column, minlength=len(vocabulary))
     n_pos, n_neg = toxic.sum(), (1 - toxic).sum()
-    negative, rate = every - positive, n_pos / (n_pos + n_neg)
-    with np.errstate(divide="ignore", invalid="ignore"):  # root of the likelihood ratio of a word's class counts
-        gain = np.where(positive > 0, positive * np.log(positive / (every * rate)), 0) + np.where(negative > 0, negative * np.log(negative / (every * (1 - rate))), 0)
-    strength = np.sqrt(2 * np.maximum(gain, 0))
+    strength = _gains(positive, every, n_pos / (n_pos + n_neg))
     terms = np.array(sorted(swap), dtype=np.uint64)
     chosen = ((every >= least) & (strength >= z)) | np.isin(vocabulary, terms)
     words = vocabulary[chosen]
@@ -137,7 +175,9 @@ def fit(bags: list[np.ndarray], toxic: np.ndarray, base_rate: float, *, penalty:
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         w, b = w - move[:-1], b - move[-1]
     rate = float(np.clip(base_rate, 1e-3, 1 - 1e-3))  # the classes weigh the same above; put their true odds back, by half
-    return Model(words, w, float(b + 0.5 * np.log(rate / (1 - rate))))
+    bias = float(b + 0.5 * np.log(rate / (1 - rate)))
+    moved = np.abs(1 / (1 + np.exp(-(x[twins] @ w + bias))) - 1 / (1 + np.exp(-(other @ w + bias))))
+    return Model(words, w, bias, len(twins), float(moved.mean()) if len(twins) else 0.0)
 
 
 def sampled_labels(labels: DataFrame, *, id_col: str, label_col: str, per_class: int) -> tuple[list[tuple], float]:
@@ -149,8 +189,38 @@ def sampled_labels(labels: DataFrame, *, id_col: str, label_col: str, per_class:
     return rows, counts.get(1, 0) / max(1, sum(counts.values()))
 
 
+def _contexts(part: DataFrame, words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """How often each bucket of words stands left and right of each word; counted in the engine, at most words x 2 x buckets numbers."""
+
+    def count(batches):
+        for b in batches:
+            for _, _, row, h in text_words(raw_texts(b.column(0))):
+                place = np.searchsorted(words, h)
+                place[place == len(words)] = 0
+                at = np.flatnonzero(words[place] == h)
+                keys = []
+                for side, step in ((0, -1), (1, 1)):
+                    near = at[(at + step >= 0) & (at + step < len(h))]
+                    near = near[row[near + step] == row[near]]
+                    keys.append((place[near] * 2 + side) * buckets + (h[near + step] >> np.uint64(32)).astype(np.int64) % buckets)
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    out = np.zeros(len(words) * 2 * buckets)
+    if len(words):
+        got = part.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        out[got["key"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(len(words), 2 * buckets)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, **kw) -> Model:
-    """Fit on labelled rows only (pass labels without held-out rows); at most 2 * per_class texts reach the driver, as word hashes."""
+    """Fit on labelled rows only (pass labels without held-out rows); at most 2 * per_class texts reach the driver, as word hashes.
+
+    Of several labels of an id the greatest counts; labels other than 0 and 1, null ids and ids without a
+    document teach nothing. Null and empty texts have no words; repeated documents count each time.
+    Ties in the sample go by id hash, then id. Without both labels the model is their rate, or 0.05.
+    Other columns do not matter.
+    """
     chosen, rate = sampled_labels(labels, id_col=id_col, label_col=label_col, per_class=per_class)
     if not chosen:
         return fit([], np.empty(0), 0.05)
@@ -160,17 +230,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def bags(column: pa.Array) -> list[pa.Array]:
         out: list = []
-        for begin, n, row, h in text_words(raw_texts(column)):
+        for _, n, row, h in text_words(raw_texts(column)):
             cut = np.searchsorted(row, np.arange(n + 1))
             out += [np.unique(h[cut[i] : cut[i + 1]]).view(np.int64) for i in range(n)]
         return [pa.array(out, type=pa.list_(pa.int64()))]
 
-    rows = with_added(part.select("id", "y", "text"), [T.StructField("bag", T.ArrayType(T.LongType()))], "text", bags).select("id", "y", "bag").toPandas()
+    part = staged(part.select("id", "y", "text"), "labelled")
+    rows = with_added(part, [T.StructField("bag", T.ArrayType(T.LongType()))], "text", bags).select("id", "y", "bag").toPandas()
     rows = rows.sort_values(["id", "y"], kind="stable").reset_index(drop=True)
-    return fit([np.asarray(b, dtype=np.int64).view(np.uint64) for b in rows["bag"]], rows["y"].to_numpy(), rate, **kw)
+    words, toxic = [np.asarray(b, dtype=np.int64).view(np.uint64) for b in rows["bag"]], rows["y"].to_numpy(dtype=np.float64)
+    neutral = neutral_words(words, toxic) if len(rows) else np.empty(0, dtype=np.uint64)
+    return fit(words, toxic, rate, swaps=learned_swaps(neutral, _contexts(part, neutral)), **kw)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs plus the score of the whole text; null and empty texts get that of a text without known words."""
+    """docs plus the score of the whole text; null and empty texts get that of a text without known words.
+
+    Repeated rows get equal scores, an empty table none; a column named like the new one is replaced.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: only words of the bounded sample
     return with_added(docs, [T.StructField(score_col, T.DoubleType())], text_col, lambda c: [pa.array(held.value.scores(raw_texts(c)))])
