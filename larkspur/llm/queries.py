@@ -62,27 +62,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _NODE = "regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+_HOST = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Aliases are followed over at most all edges; rules come first, then what a component shares.
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attribute(name: str) -> str:
+    """The value of an element's attribute, with the references decoded that a URL is likely to hold."""
+    raw = " || ".join(f"""regexp_extract(e, {_quoted(rf"(?i)[\s\"'/]{name}{url_rules._VALUE}")}, {i})""" for i in (1, 2, 3))
+    return f"trim(replace(replace(replace({raw}, '&#38;', '&'), '&#x26;', '&'), '&amp;', '&'))"
+
+
+#: Resolved against the page's url: an absolute target, one without scheme, a path from the root, a query, a path from the page's folder.
+_PATH = "CASE WHEN starts_with(target, '/') THEN regexp_extract(target, '^[^?#]*') WHEN regexp_matches(target, '^[?#]') THEN path ELSE regexp_extract(path, '^.*/') || regexp_extract(target, '^[^?#]*') END"
+_TIDY = "list_reduce(list_filter(string_split({0}, '/')[2:], lambda x: x <> '.'), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END, '') || CASE WHEN regexp_matches({0}, '/[.][.]?$') THEN '/' ELSE '' END"
+
+#: Aliases are followed over at most all edges; rules come first, then what a component shares. Base elements and rarer references are left to the tests.
 ORACLE_SQL: dict[str, str] = {
     "op5_url_rules": f"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, coalesce(html, '') AS html,
-         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, coalesce(html, '') AS html, {_HOST.format("coalesce(url, '')")} AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 r AS (SELECT page_id, host, path, html, CASE WHEN contains(url, '://') THEN host || {_NODE.format("url")} END AS node,
              {url_rules.rule_sql("host", "path")} AS rule, {url_rules.rule_sql("host", "path", what="action")} AS action FROM p),
+elements AS (
+  SELECT host, path, node, unnest(regexp_extract_all(regexp_replace(html, {_quoted(url_rules._ASIDE)}, '', 'g'), {_quoted(url_rules._ELEMENT)})) AS e
+  FROM r WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
 found AS (
-  SELECT host, node, regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM r
+  SELECT host, path, node, {_attribute("href")} AS target FROM elements
+  WHERE lower(e[2:5]) = 'link' AND list_contains(regexp_split_to_array(lower({_attribute("rel")}), '\\s+'), 'canonical')
   UNION ALL
-  SELECT host, node, regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM r),
+  SELECT host, path, node, trim(regexp_extract({_attribute("content")}, {_quoted(url_rules._TARGET)}, 1)) FROM elements
+  WHERE lower(e[2:5]) = 'meta' AND lower({_attribute("http-equiv")}) = 'refresh'),
 absolute AS (
-  SELECT node AS a, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target END AS target
+  SELECT node AS a, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                         WHEN starts_with(target, '//') THEN 'http:' || target
+                         ELSE 'http://' || host || CASE WHEN regexp_matches(target, '^#') THEN {_NODE.format("'x://' || node")} WHEN regexp_matches(target, '^[?]') THEN path || target
+                              ELSE {_TIDY.format(f"({_PATH})")} || regexp_extract(target, '[?#].*$') END END AS target
   FROM found WHERE target <> ''),
-linked AS (
-  SELECT a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || {_NODE.format("target")} AS b
-  FROM absolute WHERE target IS NOT NULL AND a IS NOT NULL),
+linked AS (SELECT a, {_HOST.format("target")} || {_NODE.format("target")} AS b FROM absolute WHERE target IS NOT NULL),
 edges AS (SELECT a, b FROM linked WHERE a <> b UNION SELECT b, a FROM linked WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other),
 judged AS (SELECT node, regexp_extract(other, '^[^/?#]*') AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),

@@ -7,13 +7,17 @@ page and no explicitly allowed one is blocked as a whole. A page's own rule alwa
 
 from __future__ import annotations
 
+import html as entities
+import re
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import shared_dir
+from larkspur.llm.common import spread_join, staged
 from larkspur.llm.components import connected_components
 
 
@@ -31,11 +35,11 @@ class Rule:
 
 RULES = (Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-# The elements that name an alias.
-_CANONICAL = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# What is no markup, and the elements and attributes that name an alias.
+_ASIDE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
+_ELEMENT = r"(?is)<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_TARGET = r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"']*)"
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -66,17 +70,56 @@ def ruling(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,i:int,rule:string,action:string>")
 
 
+_aside, _element, _target = (re.compile(x) for x in (_ASIDE, _ELEMENT, _TARGET))
+_attribute = {n: re.compile(rf"(?i)[\s\"'/]{n}{_VALUE}") for n in ("rel", "href", "http-equiv", "content")}
+
+
+def _value(element: str, name: str) -> str:
+    m = _attribute[name].search(element)
+    return entities.unescape(m[1] or m[2] or m[3] or "").strip() if m else ""
+
+
+def alias_targets(url: str | None, page: str | None) -> list[str]:
+    """Absolute URLs that a page names as its canonical form or sends its readers to, all of them, in order.
+
+    References are decoded; targets are resolved against the page's base element, else its url.
+    Comments and scripts don't count.
+    """
+    if not page or not url or "://" not in url:
+        return []
+    base, out = url, []
+    for m in _element.finditer(_aside.sub("", page)):
+        kind = m[0][1:5].lower()
+        if kind == "base":
+            base = _resolved(url, _value(m[0], "href")) if base == url else base
+            continue
+        if kind == "link":
+            to = _value(m[0], "href") if "canonical" in _value(m[0], "rel").lower().split() else ""
+        else:
+            found = _target.match(_value(m[0], "content")) if _value(m[0], "http-equiv").lower() == "refresh" else None
+            to = found[1].strip() if found else ""
+        if to:
+            out.append(_resolved(base, to))
+    return [x for x in out if "://" in x]
+
+
+def _resolved(base: str, target: str) -> str:
+    try:
+        return urljoin(base, target)
+    except ValueError:  # no URL
+        return ""
+
+
 def alias_edges(pages: DataFrame, redirects: DataFrame | None, *, url_col: str, html_col: str) -> DataFrame:
-    """(from, to) as nodes: canonical links, refresh redirects and, if given, rows of redirects(from_url, to_url)."""
-    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    own = node_of(F.col(f"`{url_col}`"))
-    found = F.array(
-        F.regexp_extract(F.when(F.contains(html, F.lit("anonical")) | F.contains(html, F.lit("ANONICAL")), F.regexp_extract(html, _CANONICAL, 0)).otherwise(""), _HREF, 1),
-        F.regexp_extract(F.when(F.contains(html, F.lit("efresh")) | F.contains(html, F.lit("EFRESH")), F.regexp_extract(html, _REFRESH, 0)).otherwise(""), _TARGET, 1),
-    )
-    links = pages.select(own.alias("a"), F.col(f"`{url_col}`").alias("url"), F.explode(F.filter(found, lambda x: x != "")).alias("to"))
-    absolute = F.when(F.col("to").contains("://"), F.col("to")).when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), F.concat(F.lit("http://"), host_of(F.col("url")), "to"))
-    edges = links.select("a", node_of(absolute).alias("b"))
+    """(a, b) as nodes: canonical links, refresh redirects and, if given, rows of redirects(from_url, to_url)."""
+    named = pages.where(F.col(f"`{html_col}`").rlike("(?i)canonical|refresh")).select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+
+    def run(batches):
+        for b in batches:
+            pairs = [(u, t) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for t in alias_targets(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], type=pa.string()), pa.array([t for _, t in pairs], type=pa.string())], names=["url", "target"])
+
+    edges = named.mapInArrow(run, "url string, target string").select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")))
     return edges.where("a is not null and b is not null and a <> b").distinct()
@@ -87,23 +130,25 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, redirects:
 
     Null urls and urls without `://` have an empty host and path, no rule and no aliases. Rows
     that repeat a url share its node. A component with an allow rule on any member is never blocked.
+    Null and empty html names no alias; an empty table gives an empty result; other columns do not matter.
     """
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("r", ruling(F.col("host"), F.col("path"), rules))
-    shared_dir(pages.sparkSession)
-    edges = alias_edges(pages, redirects, url_col=url_col, html_col=html_col).checkpoint()
+    edges = staged(alias_edges(pages, redirects, url_col=url_col, html_col=html_col), "aliases")
     own = rows.select("page_id", "host", "path", "node", F.col("r.rule").alias("rule"), F.col("r.action").alias("action"))
     if edges.isEmpty():
         return own.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"), F.when(F.col("action").isNotNull(), "rule").otherwise("default").alias("by"))
-    # rows that share a node join only once: decisions are made on nodes
-    parts = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    linked = parts.withColumn("host", F.substring_index(F.regexp_extract("node", r"^[^/?#]*", 0), "/", 1)).withColumn("path", F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1))
+    # decisions are made on nodes; a component, and a url that many rows repeat, may hold any share of the rows
+    parts = staged(connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
+    linked = parts.withColumn("host", F.regexp_extract("node", r"^[^/?#]*", 0)).withColumn("path", F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1))
     linked = linked.withColumn("action", ruling(F.col("host"), F.col("path"), rules)["action"])
-    verdicts = linked.groupBy("component").agg(F.max(F.col("action") == "block").alias("blocked"), F.max(F.col("action") == "allow").alias("allowed"))
-    spread = verdicts.select("component", F.when(F.coalesce("allowed", F.lit(False)), F.lit("allow")).when(F.coalesce("blocked", F.lit(False)), F.lit("block")).alias("shared"))
-    known = parts.join(spread, "component").where("shared is not null").select("node", "shared")
-    joined = own.join(known, "node", "left")
+    verdicts = linked.groupBy("component").agg(F.max(F.col("action") == "block").alias("blocked"), F.max(F.col("action") == "allow").alias("allowed"), F.count("*").alias("nodes"))
+    spread = verdicts.select("component", F.when(F.coalesce("allowed", F.lit(False)), F.lit("allow")).when(F.coalesce("blocked", F.lit(False)), F.lit("block")).alias("shared"), "nodes").where("shared is not null")
+    known = spread_join(parts, staged(spread, "verdicts"), "component", "nodes").select("node", "shared")
+    own = staged(own, "judged")
+    known = staged(known.join(own.groupBy("node").agg(F.count("*").alias("rows")), "node"), "known")
+    joined = spread_join(own, known, "node", "rows", how="left")
     by = F.when(F.col("action").isNotNull(), "rule").when(F.col("shared").isNotNull(), "alias").otherwise("default")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("action", "shared", F.lit(default)).alias("verdict"), by.alias("by"))
 
