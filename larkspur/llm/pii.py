@@ -100,9 +100,11 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 def secret_like(token: str) -> bool:
     """Whether a token is long and mixes digits with letters as random keys do."""
+    if len(token) < 16:
+        return False
     digits = sum("0" <= c <= "9" for c in token)
     letters = sum(c.isalpha() for c in token)
-    return len(token) >= 16 and digits >= 4 and letters >= 2 and digits + letters >= 0.9 * len(token)
+    return digits >= 4 and letters >= 2 and digits + letters >= 0.9 * len(token)
 
 
 def occurrences(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, bool]]:
@@ -176,30 +178,33 @@ class Contexts:
 
     def hits(self, ws: list[str]) -> list[tuple[int, str]]:
         """(word, pattern) of every word in a context."""
-        out, last = [], len(ws) - 1
         near = self.near
-        for i, w in enumerate(ws):
-            worth = near.get(w)
-            if worth is None:
+        if new := set(ws).difference(near):
+            if len(near) > 1 << 20:
+                near.clear()
+                new = set(ws)
+            for w in new:
                 pair = self("left " + w), self("right " + w)
-                worth = near[w] = pair if any(pair) else ()
-            if worth:
-                if worth[0] and i < last:
-                    out += self._grown(i + 1, worth[0], (f"left {' '.join(ws[i - n : i + 1])}" for n in range(min(WORDS, i + 1))))
-                if worth[1] and i:
-                    out += self._grown(i - 1, worth[1], (f"right {' '.join(ws[i : i + n + 1])}" for n in range(min(WORDS, last - i + 1))))
+                near[w] = pair if any(pair) else ()
+        out, last, least, dropped = [], len(ws) - 1, self.least, self.dropped
+        for i, worth in enumerate(map(near.__getitem__, ws)):
+            if not worth:
+                continue
+            for side, to, value in (("left", i + 1, worth[0]), ("right", i - 1, worth[1])):
+                if not value or not 0 <= to <= last:
+                    continue
+                p, n = f"{side} {ws[i]}", 1
+                while value:
+                    if value > least and p not in dropped:
+                        out.append((to, p))
+                    n += 1
+                    begin, end = (i - n + 1, i + 1) if side == "left" else (i, i + n)
+                    if n > WORDS or begin < 0 or end > last + 1:
+                        break
+                    p = f"{side} {' '.join(ws[begin:end])}"
+                    value = self(p)
         return out
 
-    def _grown(self, at: int, value: int, patterns: Iterator[str]) -> Iterator[tuple[int, str]]:
-        """(at, pattern) of the contexts among patterns, each a word longer than the one before; value: the worth of the first."""
-        for p in patterns:
-            value = value or self(p)
-            if not value:
-                return
-            if value > self.least and p not in self.dropped:
-                yield at, p
-            value = 0
-
 
 def _table(contexts: DataFrame, worth: Column, slots: int = SLOTS) -> array:
     """The table of Contexts from (pattern, ..), combined before it reaches the driver: at most `slots` numbers."""
@@ -218,9 +223,12 @@ def _table(contexts: DataFrame, worth: Column, slots: int = SLOTS) -> array:
     return array("I", out.tobytes())
 
 
-def in_contexts(text: str | None, contexts: Contexts, base: list[tuple[str, int, int]] | None = None, occ: list[tuple[int, int, str, str, bool]] | None = None) -> list[tuple[int, int, str, str, bool]]:
+def in_contexts(text: str | None, contexts: Contexts, base: list[tuple[str, int, int]] | None = None, occ: list[tuple[int, int, str, str, bool]] | None = None, hits: list[tuple[int, str]] | None = None) -> list[tuple[int, int, str, str, bool]]:
     """Occurrences, as of `occurrences`, of what stands in the contexts: the span of a fixed pattern, a candidate token or else a word."""
-    if not (contexts.worth and text and (hits := contexts.hits(words(text)))):
+    if not (contexts.worth and text):
+        return []
+    hits = contexts.hits(words(text)) if hits is None else hits
+    if not hits:
         return []
     base = base_spans(text) if base is None else base
     occ = occurrences(text, base) if occ is None else occ
@@ -255,6 +263,19 @@ def in_contexts(text: str | None, contexts: Contexts, base: list[tuple[str, int,
     return out
 
 
+def unseeded(text: str, contexts: Contexts) -> list[tuple[str, str]]:
+    """(pattern, token) of what stands in the contexts and is no seed."""
+    hits = contexts.hits(words(text)) if contexts.worth else []
+    if not hits:
+        return []
+    base = base_spans(text)
+    occ = occurrences(text, base)
+    if base or occ:
+        return [(p, token) for _, _, p, token, seed in in_contexts(text, contexts, base, occ, hits) if not seed]
+    tokens = [v for w in text.split() if (v := w.strip(_EDGE))]  # as many as words: nothing spans several of them
+    return [(p, tokens[i]) for i, p in hits if not secret_like(tokens[i])]
+
+
 _OCC = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("pattern", T.StringType()), ("instance", T.StringType()), ("seed", T.BooleanType()))])
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _OCC_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())]))
@@ -305,8 +326,8 @@ def word_contexts(docs: DataFrame, *, text_col: str, support: int = SUPPORT, sha
         contexts = Contexts(shared.value)
         seen: dict[str, set[str]] = {}
         for t in texts:
-            for _, _, p, token, seed in in_contexts(t, contexts):
-                if seed or p in contexts.dropped:
+            for p, token in unseeded(t, contexts):
+                if p in contexts.dropped:
                     continue
                 of = seen.setdefault(p, set())
                 of.add(token)
