@@ -120,23 +120,24 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     m, h, k, cut, hot, dealt, at, plan_col = [fresh([*docs.columns], n) for n in ("mix", "row_hash", "source_key", "slice_no", "equal_rows", "deal", "words_before", "plan")]
     hashed = F.shiftrightunsigned(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in dict.fromkeys([id_col, text_col, source_col, *keep]))), 1)
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
-    table = staged(docs.select(*(f"`{c}`" for c in columns), F.struct(F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text_col).alias("size")).alias(m), key.alias(k), hashed.alias(h)), "mix")
+    table = docs.select(*(f"`{c}`" for c in columns), F.struct(F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text_col).alias("size")).alias(m), key.alias(k), hashed.alias(h))
+    narrow = staged(table.select(m, k, h), "mix")  # without texts, which are read again at the end
     size = F.col(f"`{m}`.size")
-    sizes = table.groupBy(F.col(f"`{m}`.source").alias("source")).agg(F.sum(size).cast("double").alias("source_size"), F.count("*").alias("n"))
+    sizes = narrow.groupBy(F.col(f"`{m}`.source").alias("source")).agg(F.sum(size).cast("double").alias("source_size"), F.count("*").alias("n"))
     plan = staged(targets(sizes.drop("n"), most=most, **kw), "targets")
     most_rows = sizes.agg(F.max("n")).first()[0] or 0
     n_slices = 1 << min(max(0, (most_rows // slice_rows).bit_length()), most_slices.bit_length() - 1)
-    table = table.withColumn(cut, F.shiftrightunsigned(F.col(h), 64 - n_slices.bit_length()) if n_slices > 1 else F.lit(0).cast("long"))
-    counts = staged(table.groupBy(k, cut).agg(F.count("*").alias("rows")), "slice_rows")
-    equal = _hot_hashes(table, counts, [k, cut], h, 4 * max(slice_rows, most_rows // n_slices))
-    # rows under a hot hash are all equal: they come first in their slice and are dealt to many tasks
+    slice_no = F.shiftrightunsigned(F.col(h), 64 - n_slices.bit_length()) if n_slices > 1 else F.lit(0).cast("long")
+    table, narrow = table.withColumn(cut, slice_no), narrow.withColumn(cut, slice_no)
+    counts = staged(narrow.groupBy(k, cut).agg(F.count("*").alias("rows")), "slice_rows")
+    equal = _hot_hashes(narrow, counts, [k, cut], h, 4 * max(slice_rows, most_rows // n_slices))
+    part = [k, cut, hot, dealt]
     if equal is None:
-        table = table.withColumn(hot, F.lit(None).cast("long")).withColumn(dealt, F.lit(0).cast("long"))
-    else:
+        table, narrow = (x.withColumn(hot, F.lit(None).cast("long")).withColumn(dealt, F.lit(0).cast("long")) for x in (table, narrow))
+    else:  # rows under a hot hash are all equal: they come first in their slice and are dealt to many tasks, for good
         table = table.join(F.broadcast(equal.withColumn(hot, F.col(h))), [k, cut, h], "left")
-        table = staged(table.withColumn(dealt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("deals"))).otherwise(0).cast("long")).drop("deals"), "dealt")
-    part = [k, cut, hot, dealt]
-    sums = table.groupBy(*part).agg(F.sum(size).alias("words"))
+        table = narrow = staged(table.withColumn(dealt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("deals"))).otherwise(0).cast("long")).drop("deals"), "dealt")
+    sums = narrow.groupBy(*part).agg(F.sum(size).alias("words"))
     before = sums.withColumn("start", F.sum("words").over(Window.partitionBy(k).orderBy(cut, F.col(hot).asc_nulls_last(), dealt).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     every = Window.partitionBy()
     goal = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias(k), "source_size", "target", "slope", F.sum(F.col("target") * (1 - F.col("slope"))).over(every).alias("linear"), F.sum(F.col("target") * F.col("slope")).over(every).alias("square"))
