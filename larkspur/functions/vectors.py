@@ -104,3 +104,8 @@ def size_regime(n: Column) -> Column:
 def derive_seed(*parts: Column) -> Column:
     """First four bytes, big-endian, of the SHA-256 of the parts joined by pipes."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 8), 16, 10).cast("long")
+
+
+def derive_pool_seed(seed: Column, round_: Column) -> Column:
+    """The seed of a round's pool, the same for every strategy."""
+    return derive_seed(F.lit("pool"), seed, round_)

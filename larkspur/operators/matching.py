@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import vectors as V
+from larkspur.operators.ranks import dealt
 from larkspur.session import cut
 
 GROUPS = ("head", "medium", "tail")
@@ -75,16 +76,27 @@ def recall(matches: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) ->
 def average_precision(matches: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., ap): all-point average precision; NaN without targets, 0 without detections.
 
-    Equal (score, image, detection) order is global, so the running sums are a window per group.
+    The order (score, image, detection) is global. It is dealt to range partitions: running sums and
+    the envelope, the greatest precision from a row on, are made in each and joined with those of the
+    partitions before and after it. The envelope runs from the end, so that its frame only grows.
     """
     support = targets.groupBy(*by).agg(F.count("*").alias("_support"))
-    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "image_id", "det_idx")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    curve = matches.withColumn("_tp", F.sum("tp").over(run).cast("double")).withColumn("_fp", F.sum("fp").over(run).cast("double"))
-    curve = curve.withColumn("_p", F.col("_tp") / F.greatest(F.col("_tp") + F.col("_fp"), F.lit(1e-12)))
-    curve = curve.withColumn("_envelope", F.max("_p").over(rest))
-    area = curve.groupBy(*by).agg(F.sum(F.col("tp") * F.col("_envelope")).alias("_area"))
+    order, back = [F.col("score").desc(), F.col("image_id"), F.col("det_idx")], [F.col("score").asc(), F.col("image_id").desc(), F.col("det_idx").desc()]
+    rows = dealt(matches.select(*by, "score", "image_id", "det_idx", "tp", "fp"), order, by)
+    upto = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_part").agg(F.sum("tp").alias("_t"), F.sum("fp").alias("_f"))
+    sums = sums.select(*by, "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_t", "_f")))
+    keys = [*by, "_part"]
+    curve = rows.withColumn("_tp", F.sum("tp").over(upto)).withColumn("_fp", F.sum("fp").over(upto)).join(sums, keys)
+    hits = (F.col("_tp") + F.col("_t")).cast("double")
+    curve = curve.withColumn("_p", hits / F.greatest(hits + (F.col("_fp") + F.col("_f")).cast("double"), F.lit(1e-12)))
+    curve = curve.withColumn("_inner", F.max("_p").over(Window.partitionBy(*keys).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)))
+    curve = cut(curve.select(*keys, "tp", "_inner"))
+    best = curve.groupBy(*keys).agg(F.max("_inner").alias("_best"))
+    best = best.select(*keys, F.max("_best").over(later).alias("_after"))
+    area = curve.join(best, keys).groupBy(*by).agg(F.sum(F.col("tp") * F.greatest("_inner", "_after")).alias("_area"))
     joined = support.join(area, list(by), "left") if by else support.join(F.broadcast(area))
     ap = F.when(F.col("_support") == 0, F.lit(float("nan"))).otherwise(F.coalesce("_area", F.lit(0.0)) / F.nullif(F.col("_support").cast("double"), F.lit(0.0)))
     return joined.select(*by, ap.alias("ap"))
@@ -143,13 +155,3 @@ def validate_categories(df: DataFrame, vocabulary: DataFrame, extra: tuple[str,
     bad = df.select("class_name").distinct().where(~F.col("class_name").isin(*extra)).join(vocabulary, "class_name", "left_anti").limit(20).collect()
     if bad:
         raise ValueError("unknown classes: " + ", ".join(sorted(r[0] for r in bad)))
-
-
-def best_overlap(proposals: DataFrame, truth: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """proposals (image_id, proposal_index, box) plus max_iou, and class_name or `background` of the object it overlaps most."""
-    t = truth.select("image_id", "gt_idx", F.col("box").alias("_gt"), F.col("class_name").alias("_class"))
-    pairs = proposals.select("image_id", "proposal_index", "box").join(t, "image_id").withColumn("_iou", V.box_iou(F.col("box"), F.col("_gt")))
-    best = pairs.groupBy("proposal_index").agg(F.max_by(F.struct("_iou", "_class"), F.struct("_iou", -F.col("gt_idx"))).alias("_b"))
-    joined = proposals.join(best, "proposal_index", "left")
-    iou = F.coalesce(F.col("_b._iou"), F.lit(0.0))
-    return joined.select(*proposals.columns, iou.alias("max_iou"), F.when(iou >= threshold, F.col("_b._class")).otherwise("background").alias("matched_class"))

@@ -46,6 +46,11 @@ def support(objects: DataFrame, groups: DataFrame, known: tuple[str, ...] = ())
     return joined.agg(F.sum(k.cast("long")).alias("known"), F.sum((~k).cast("long")).alias("unknown"), *part.values())
 
 
+def class_support(objects: DataFrame, groups: DataFrame) -> DataFrame:
+    """(class_name, group, n): the objects of every class; group is null for classes without one."""
+    return object_counts(objects).join(groups.select("class_name", "group"), "class_name", "left").select("class_name", "group", "n")
+
+
 def long_tail_targets(counts: DataFrame, ratio: float) -> DataFrame:
     """counts plus rank and target: a geometric decay from the largest class, at least 1, at most n; 0 for empty classes."""
     ranked = frequency_ranks(counts)

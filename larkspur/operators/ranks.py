@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import cut
+
 METHODS = ("rank", "ecdf", "minmax", "zscore_sigmoid", "none")
 FLAT = 1e-12
 
@@ -29,6 +31,22 @@ def _distinct_ranks(df: DataFrame, value: str, by: Sequence[str], parts: int | N
     return ranked.join(starts, [*by, "_part"]).select(*by, "_v", (F.col("_start") + F.col("_in")).alias("_before"), "_same")
 
 
+def dealt(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), part: str = "_part") -> DataFrame:
+    """df in range partitions of by and order, cut, with the partition's number: sums over earlier partitions are few rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *by, *order).withColumn(part, F.spark_partition_id()))
+
+
+def row_numbers(df: DataFrame, order: Sequence[Column], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """df plus the row number, from 1, in a total order, per `by`."""
+    parts = dealt(df, order, by)
+    counts = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return parts.withColumn("_in", inside).join(starts, [*by, "_part"]).select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
+
+
 def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """df plus zero-based ranks of value; equal values share the mean of theirs.
 

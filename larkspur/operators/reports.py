@@ -325,3 +325,72 @@ def random_sample(images: DataFrame, n: int, seed: object, by: Sequence[str] = (
     salted = images.withColumn("_h", h).withColumn("_salt", F.substring("_h", 64, 1))  # a first cut per salt spreads a hot stratum
     near = salted.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy("_h", "image_id"))).where(F.col("_i") <= n)
     return near.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "image_id"))).where(F.col("_i") <= n).select(*images.columns)
+
+
+# moments, rounds and comparisons ------------------------------------------------------------
+
+
+def component_statistics(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by.., component, rows, mean, std, low, high) of each value; std over the rows themselves."""
+    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("component"), F.col(v).cast("double").alias("value")) for v in values))).alias("_v")).select(*by, "_v.*")
+    return long.groupBy(*by, "component").agg(F.count("value").alias("rows"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def round_moments(df: DataFrame, values: Sequence[str], by: Sequence[str] = ("variant", "round")) -> DataFrame:
+    """(by.., mean_*, std_*): sample deviations, null for a single row."""
+    return df.groupBy(*by).agg(*(f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("std", lambda v: F.when(F.count(v) > 1, F.stddev_samp(v))))))
+
+
+def means_by_regime(df: DataFrame, size: str, values: Sequence[str]) -> DataFrame:
+    """(regime, proposals, mean_*) by regime of cluster size; regimes without proposals have 0 and nulls."""
+    regimes = df.sparkSession.createDataFrame([(r,) for r in ("singleton", "2-3", "4-5", "6+")], "regime string")
+    got = df.groupBy(V.size_regime(F.col(size)).alias("regime")).agg(F.count("*").alias("proposals"), *(F.avg(v).alias(f"mean_{v}") for v in values))
+    return regimes.join(got, "regime", "left").fillna(0, ["proposals"])
+
+
+def below_neighbours(df: DataFrame, size: str, label: str, coherence: str, neighbours: int) -> DataFrame:
+    """One row: proposals in clusters of at most `neighbours`, their fraction and classes, and the mean coherence of them and of the others."""
+    below = F.col(size) <= neighbours
+    return df.agg(
+        F.count_if(below).alias("proposals"),
+        F.avg(below.cast("double")).alias("fraction"),
+        F.count_distinct(F.when(below, F.col(label))).alias("classes"),
+        F.avg(F.when(below, F.col(coherence))).alias("mean_below"),
+        F.avg(F.when(~below, F.col(coherence))).alias("mean_above"),
+    )
+
+
+def compare_metrics(old: DataFrame, new: DataFrame, values: Sequence[str], on: Sequence[str] = ("strategy", "budget")) -> DataFrame:
+    """(on.., old_*, new_*, delta_*) for the keys that both have."""
+    left = old.select(*on, *(F.col(v).alias(f"old_{v}") for v in values))
+    right = new.select(*on, *(F.col(v).alias(f"new_{v}") for v in values))
+    return left.join(right, list(on)).select("*", *((F.col(f"new_{v}") - F.col(f"old_{v}")).alias(f"delta_{v}") for v in values))
+
+
+def round_deltas(rounds: DataFrame, value: str = "metric") -> DataFrame:
+    """(variant, first_round, last_round, delta) between the last and the first round of each variant."""
+    return rounds.groupBy("variant").agg(F.min("round").alias("first_round"), F.max("round").alias("last_round"), (F.max_by(value, "round") - F.min_by(value, "round")).alias("delta"))
+
+
+def metric_pivot(rounds: DataFrame, value: str = "metric") -> DataFrame:
+    """A row a variant, a column r<round> for every round that any variant has."""
+    years = [r[0] for r in rounds.select("round").distinct().orderBy("round").collect()]  # a column each
+    return rounds.groupBy("variant").pivot("round", years).agg(F.max(value)).select("variant", *(F.col(str(y)).alias(f"r{y}") for y in years))
+
+
+def overlap_matrix(selections: DataFrame, order: Sequence[str]) -> DataFrame:
+    """A row and a column a strategy with the number of images that both select, from selections(strategy, image_id)."""
+    names, one = list(order), selections.select("strategy", "image_id").distinct()
+    both = one.join(one.select("image_id", F.col("strategy").alias("_other")), "image_id")  # a row a pair of strategies and image
+    return both.groupBy("strategy").pivot("_other", names).agg(F.count("*")).fillna(0, names)
+
+
+def class_lookup(df: DataFrame, groups: DataFrame, *, default: str | None = None) -> DataFrame:
+    """df plus the group of its class_name: `default` for unlisted classes; without one they raise ValueError."""
+    joined = df.join(groups.select("class_name", "group"), "class_name", "left")
+    if default is None:
+        bad = joined.where("group is null").select("class_name").distinct().limit(20).collect()
+        if bad:
+            raise ValueError("classes without a group: " + ", ".join(sorted(str(r[0]) for r in bad)))
+        return joined
+    return joined.fillna(default, ["group"])

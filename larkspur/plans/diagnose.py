@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,33 +22,40 @@ def proposal_table(scored: DataFrame) -> DataFrame:
 def diagnose_pool(candidates: DataFrame, reference: DataFrame, output: str, *, strategies: Sequence[str], budget: int, seeds: Sequence[int] = (0, 1, 2), label: str | None = None) -> dict[str, DataFrame]:
     """Writes proposals, selections, overlaps, stability and gate under output and returns them as read back.
 
-    Strategies that need a posterior are skipped where candidates has none.
+    Overlaps are given for every seed, the gate for every scored strategy and seed. Each strategy and
+    seed has a folder of its own that a rerun replaces. Strategies that need a posterior are skipped where
+    candidates has none.
     """
     spark, registry, root = candidates.sparkSession, S.default_registry(), output.rstrip("/")
     specs = [(n, registry.resolve(n)) for n in strategies]
     specs = [(n, s) for n, s in specs if "posterior" in candidates.columns or not s.needs_posterior()]
     if not specs:
         raise ValueError("no strategy fits the pool")
+    proposals, selections = [], []
     for seed in seeds:
         for name, s in specs:
+            here = f"strategy={name.replace(':', '_')}/seed={seed}"
             if s.random:
                 chosen = S.random_images(candidates.select("image_id").distinct(), budget, ("offline", seed)).withColumn("rank", F.lit(None).cast("int"))
             else:
-                scored = S.score_proposals(candidates, reference, s, label=label, seed=seed, all_components=not s.random)
-                proposal_table(scored).withColumn("strategy", F.lit(name)).withColumn("seed", F.lit(seed).cast("long")).write.mode("append").parquet(f"{root}/proposals")
-                kept = spark.read.parquet(f"{root}/proposals").where((F.col("strategy") == name) & (F.col("seed") == seed))
-                chosen = S.select_images(S.aggregate_images(kept, method=s.aggregation, top_k=s.top_k), budget)
-            chosen.select("image_id", F.col("rank").cast("long").alias("rank"), F.lit(name).alias("strategy"), F.lit(seed).cast("long").alias("seed")).write.mode("append").parquet(f"{root}/selections")
-    out = {"selections": spark.read.parquet(f"{root}/selections")}
+                scored = S.score_proposals(candidates, reference, s, label=label, seed=seed, all_components=True)
+                proposals.append(_written(proposal_table(scored).withColumn("strategy", F.lit(name)).withColumn("seed", F.lit(seed).cast("long")), f"{root}/proposals/{here}"))
+                chosen = S.select_images(S.aggregate_images(proposals[-1], method=s.aggregation, top_k=s.top_k), budget)
+            selections.append(_written(chosen.select("image_id", F.col("rank").cast("long").alias("rank"), F.lit(name).alias("strategy"), F.lit(seed).cast("long").alias("seed")), f"{root}/selections/{here}"))
+    out = {"selections": reduce(DataFrame.unionByName, selections)}
+    names = [n for n, _ in specs]
     out["stability"] = Q.self_stability(out["selections"])
-    out["overlaps"] = T.pair_overlaps(out["selections"].where(F.col("seed") == seeds[0]), [n for n, _ in specs])
-    if any(not s.random for _, s in specs):
-        out["proposals"] = spark.read.parquet(f"{root}/proposals")
-        scored_names = [n for n, s in specs if not s.random]
-        one = out["proposals"].where((F.col("strategy") == scored_names[0]) & (F.col("seed") == seeds[0]))
-        out["gate"] = Q.gate_impact(one)
+    out["overlaps"] = reduce(DataFrame.unionByName, (T.pair_overlaps(out["selections"].where(F.col("seed") == seed), names).withColumn("seed", F.lit(seed).cast("long")) for seed in seeds))
+    if proposals:
+        out["proposals"] = reduce(DataFrame.unionByName, proposals)
+        scored_names = [(n, seed) for seed in seeds for n, s in specs if not s.random]
+        out["gate"] = reduce(DataFrame.unionByName, (Q.gate_impact(rows).withColumn("strategy", F.lit(n)).withColumn("seed", F.lit(seed).cast("long")) for rows, (n, seed) in zip(proposals, scored_names, strict=True)))
     for name in ("stability", "overlaps", "gate"):
         if name in out:
-            out[name].write.mode("overwrite").parquet(f"{root}/{name}")
-            out[name] = spark.read.parquet(f"{root}/{name}")
+            out[name] = _written(out[name], f"{root}/{name}")
     return out
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

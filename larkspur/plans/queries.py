@@ -11,6 +11,7 @@ from larkspur.functions import vectors as V
 from larkspur.operators import components as C
 from larkspur.operators import matching as M
 from larkspur.operators import pools as P
+from larkspur.operators import reports as Q
 from larkspur.operators import ranks as R
 from larkspur.operators import scoring as S
 from larkspur.operators import stats as T
@@ -549,14 +550,14 @@ _ROUNDS = "r AS (SELECT o_orderpriority AS variant, CAST(year(o_orderdate) AS BI
 
 @query(f"WITH {_ROUNDS} SELECT variant, min(round) AS first_round, max(round) AS last_round, arg_max(metric, round) - arg_min(metric, round) AS delta FROM r GROUP BY 1")
 def round_deltas(spark, sf):
-    r = X.rounds(spark, sf)
-    return r.groupBy("variant").agg(F.min("round").alias("first_round"), F.max("round").alias("last_round"), (F.max_by("metric", "round") - F.min_by("metric", "round")).alias("delta"))
+    return Q.round_deltas(X.rounds(spark, sf))
 
 
-@query(f"WITH {_ROUNDS} SELECT variant, " + ", ".join(f"max(metric) FILTER (round = {y}) AS r{y}" for y in (1993, 1994, 1995)) + " FROM r GROUP BY 1")
+@query(f"WITH {_ROUNDS} SELECT v.variant, y.round, r.metric FROM (SELECT DISTINCT variant FROM r) v JOIN (SELECT DISTINCT round FROM r) y ON true LEFT JOIN r ON r.variant = v.variant AND r.round = y.round")
 def metric_pivot(spark, sf):
-    p = X.rounds(spark, sf).groupBy("variant").pivot("round", [1993, 1994, 1995]).agg(F.max("metric"))
-    return p.select("variant", *(F.col(str(y)).alias(f"r{y}") for y in (1993, 1994, 1995)))
+    p = Q.metric_pivot(X.rounds(spark, sf))
+    wide = p.columns[1:]
+    return p.unpivot("variant", wide, "round", "metric").select("variant", F.substring("round", 2, 10).cast("long").alias("round"), "metric")
 
 
 @query(f"WITH {_ROUNDS}, s AS (SELECT variant, CAST(avg(metric) AS DOUBLE) AS a, CAST(min(metric) AS DOUBLE) AS b FROM r GROUP BY 1) SELECT l.variant FROM s l WHERE NOT EXISTS (SELECT 1 FROM s r WHERE r.variant <> l.variant AND r.a >= l.a - 1e-12 AND -r.b >= -l.b - 1e-12 AND (r.a > l.a + 1e-12 OR -r.b > -l.b + 1e-12))")
