@@ -382,7 +382,7 @@ def overlap_matrix(selections: DataFrame, order: Sequence[str]) -> DataFrame:
     """A row and a column a strategy with the number of images that both select, from selections(strategy, image_id)."""
     names, one = list(order), selections.select("strategy", "image_id").distinct()
     both = one.join(one.select("image_id", F.col("strategy").alias("_other")), "image_id")  # a row a pair of strategies and image
-    return both.groupBy("strategy").pivot("_other", names).agg(F.count("*")).fillna(0, names)
+    return both.groupBy("strategy").pivot("_other", names).agg(F.count("image_id")).fillna(0, names)
 
 
 def class_lookup(df: DataFrame, groups: DataFrame, *, default: str | None = None) -> DataFrame:
