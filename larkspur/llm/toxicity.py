@@ -48,6 +48,8 @@ IDENTITY_TERMS = (
 SAMPLE_PER_CLASS = 2500
 #: Words that are paired by their contexts at most, the hash buckets of a context word on one side, the least cosine of a pair.
 PAIRED, BUCKETS, LIKENESS = 256, 512, 0.3
+#: How much stronger the ridge is on learned words than on others.
+NEUTRAL_RIDGE = 100.0
 
 
 def text_words(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -162,12 +164,13 @@ def fit(
             if len(at := np.flatnonzero(words == np.uint64(come))):
                 other[k, at] = 1
     change = x[twins] - other
+    hold = np.where(np.isin(words, np.array(sorted(swaps or {}), dtype=np.uint64)), NEUTRAL_RIDGE, 1.0)  # learned words say nothing by themselves
     weight = np.where(toxic == 1, 0.5 / n_pos, 0.5 / n_neg)
     w, b = np.zeros(len(words)), 0.0
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, steps + 1):
         error = weight * (1 / (1 + np.exp(-(x @ w + b))) - toxic)
-        gradient = x.T @ error + ridge * w / len(words)
+        gradient = x.T @ error + ridge * hold * w / len(words)
         if len(twins):
             gradient += 2 * penalty / len(twins) * (change.T @ (change @ w))
         g = np.append(gradient, error.sum())
