@@ -145,7 +145,7 @@ def test_diagnose(spark, tmp_path):
     assert out["selections"].count() == 12 and out["overlaps"].count() == 2 and out["gate"].count() == 2
     again = diagnose_pool(pool, pool.limit(5), str(tmp_path / "d"), strategies=["v2:random", "v2:full"], budget=3, seeds=(0, 1), label="predicted_label")
     assert again["selections"].count() == 12 and again["gate"].count() == 2
-    assert {r["strategy"]: r["min_jaccard"] for r in out["stability"].collect()}["v2:full"] == 1.0
+    assert {r["strategy"]: r["min_jaccard"] for r in again["stability"].collect()}["v2:full"] == 1.0
     with pytest.raises(ValueError):
         diagnose_pool(pool.drop("posterior"), pool, str(tmp_path / "e"), strategies=["v2:full"], budget=3)
 
