@@ -1,29 +1,22 @@
 """The five components of a proposal's score: uncertainty, novelty, rarity, coherence and the gate.
 
-Nearest-neighbour work has two forms. The expression form (a join and a left fold) is exact
-and reproducible bit for bit; the blocked form multiplies Arrow batches with blocks of the
-other side and keeps only each row's best so far. The other side is broadcast in blocks of
-bounded size, one pass each, so neither side must fit in memory.
+Nearest-neighbour work is in nearest.py: exact, by blocks, bit for bit what the column
+expressions give. Novelty also has the expression form (a join and a left fold).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import vectors as V
+from larkspur.operators.nearest import BLOCK_ROWS, greatest_dot, nearest
 from larkspur.operators.ranks import average_ranks, normalise
 
 UNCERTAINTY = ("entropy", "margin", "one_minus_max", "objectness_weighted_entropy", "legacy")
 RARITY = ("log_inverse_frequency", "inverse_frequency", "negative_count")
 COHERENCE = ("density", "relative_within_cluster", "neighbour_consistency")
-#: Rows of the broadcast side in one block of the blocked form, and rows below which the expression form is taken.
-BLOCK_ROWS, SMALL_ROWS = 65_536, 5_000
 
 
 def uncertainty(df: DataFrame, method: str = "entropy", *, out: str = "uncertainty", posterior: str = "posterior", confidence: str = "confidence", weight: str | None = None) -> DataFrame:
@@ -41,28 +34,16 @@ def uncertainty(df: DataFrame, method: str = "entropy", *, out: str = "uncertain
     return ranked.select(*df.columns, F.sqrt(F.col("_re") * F.col("_rc")).alias(out))
 
 
-def _blocks(df: DataFrame, columns: list[str], rows: int) -> Iterator[list]:
-    held: list = []
-    for row in df.select(*columns).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == rows:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def novelty(candidates: DataFrame, reference: DataFrame, *, out: str = "novelty", embedding: str = "embedding", blocked: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """candidates plus 1 - the greatest cosine to a reference row; 1 where there is no reference.
 
-    blocked=None takes the expression form if the reference has at most SMALL_ROWS rows.
+    blocked=False takes the expression form, for small references: all of its rows go to each task.
     """
     bank = reference.select(V.l2_normalise(V.as_double(F.col(embedding))).alias("_r"))
-    if blocked is None:
-        blocked = bank.limit(SMALL_ROWS + 1).count() > SMALL_ROWS
-    if blocked:
-        return _novelty_blocked(candidates, bank, out, embedding, block_rows)
-    # one row with at most SMALL_ROWS vectors: each candidate folds over the array
+    if blocked is not False:
+        best = greatest_dot(candidates, bank, embedding=embedding, out=out, block_rows=block_rows)
+        return best.withColumn(out, F.coalesce(F.lit(1.0) - F.col(out), F.lit(1.0)))
+    # one row with all vectors: each candidate folds over the array
     gathered = bank.agg(F.collect_list("_r").alias("_bank"))
     unit = candidates.withColumn("_u", V.l2_normalise(V.as_double(F.col(embedding))))
     joined = unit.join(F.broadcast(gathered))
@@ -70,35 +51,6 @@ def novelty(candidates: DataFrame, reference: DataFrame, *, out: str = "novelty"
     return joined.select(*candidates.columns, F.coalesce(F.lit(1.0) - best, F.lit(1.0)).alias(out))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), V.TINY)
-
-
-def _novelty_blocked(candidates: DataFrame, bank: DataFrame, out: str, embedding: str, block_rows: int) -> DataFrame:
-    sc = candidates.sparkSession.sparkContext
-    best = candidates.withColumn(out, F.lit(None).cast("double"))
-    at, to = best.columns.index(embedding), best.columns.index(out)
-    schema = best.schema
-    for rows in _blocks(bank, ["_r"], block_rows):
-        held = sc.broadcast(np.array([r[0] for r in rows]))
-
-        def run(batches, held=held):
-            for b in batches:
-                near = (_unit(_matrix(b.column(at))) @ held.value.T).max(axis=1)
-                old = b.column(to).to_numpy(zero_copy_only=False).astype(np.float64)
-                arrays = list(b.columns)
-                arrays[to] = pa.array(np.where(np.isnan(old), near, np.maximum(old, near)))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-        best = best.mapInArrow(run, schema)
-    return best.withColumn(out, F.coalesce(F.lit(1.0) - F.col(out), F.lit(1.0)))
-
-
 def cluster_sizes(df: DataFrame, label: str = "pseudo_label", out: str = "cluster_size") -> DataFrame:
     """df plus the number of rows with its label: a combined count joined back, no window per label."""
     counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias(out))
@@ -123,33 +75,14 @@ def rarity(df: DataFrame, method: str = "log_inverse_frequency", *, label: str =
 def kth_neighbour(df: DataFrame, *, neighbours: int = 5, key: str = "proposal_index", embedding: str = "embedding", label: str | None = None, out: str = "kth_distance") -> DataFrame:
     """(key, out): distance to the min(neighbours, n - 1)-th nearest other row, of the same label if one is given.
 
-    Rows alone in their group get 0. Embeddings are used as they are. The join is on the label
-    (or, without one, between salted blocks), keeps `neighbours` distances a row and drops the rest.
+    Rows alone in their group get 0. Embeddings are used as they are. See nearest.py for the search.
     """
-    rows = df.select(F.col(key).alias("_k"), V.as_double(F.col(embedding)).alias("_e"), (F.col(label) if label else F.lit(0)).alias("_l"))
-    sizes = rows.groupBy("_l").agg(F.count("*").alias("_n"))
-    other = rows.select(F.col("_k").alias("_ok"), F.col("_e").alias("_oe"), F.col("_l").alias("_ol"))
-    salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = rows.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(salts)))  # spreads a hot label over tasks
-    right = other.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_s", F.col("_s").cast("long"))
-    pairs = left.join(right, (F.col("_l") == F.col("_ol")) & (left["_s"] == right["_s"]) & (F.col("_k") != F.col("_ok")))
-    near = pairs.select("_k", "_l", V.distance(F.col("_e"), F.col("_oe")).alias("_d"))
-    order = Window.partitionBy("_k").orderBy("_d")
-    ranked = near.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= neighbours)
-    want = ranked.join(sizes, "_l").where(F.col("_i") == F.least(F.lit(neighbours), F.col("_n") - 1))
-    return rows.join(want.select(F.col("_k").alias("_wk"), "_d"), F.col("_k") == F.col("_wk"), "left").select(F.col("_k").alias(key), F.coalesce("_d", F.lit(0.0)).alias(out))
+    return nearest(df, neighbours=neighbours, key=key, embedding=embedding, label=label, out=out).select(key, out)
 
 
 def neighbour_agreement(df: DataFrame, *, neighbours: int, key: str, embedding: str, label: str) -> DataFrame:
     """(key, _agree): how many of the global nearest rows (own row excluded, ties by key) share the label."""
-    rows = df.select(F.col(key).alias("_k"), V.as_double(F.col(embedding)).alias("_e"), F.col(label).alias("_l"))
-    other = rows.select(F.col("_k").alias("_ok"), F.col("_e").alias("_oe"), F.col("_l").alias("_ol"))
-    salts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = rows.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(salts)))
-    right = other.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_s", F.col("_s").cast("long"))
-    near = left.join(right, (left["_s"] == right["_s"]) & (F.col("_k") != F.col("_ok"))).select("_k", "_ok", (F.col("_l") == F.col("_ol")).cast("long").alias("_same"), V.distance(F.col("_e"), F.col("_oe")).alias("_d"))
-    top = near.withColumn("_i", F.row_number().over(Window.partitionBy("_k").orderBy("_d", "_ok"))).where(F.col("_i") <= neighbours)
-    return top.groupBy(F.col("_k").alias(key)).agg(F.sum("_same").alias("_agree"))
+    return nearest(df, neighbours=neighbours, key=key, embedding=embedding, kind=label).select(key, "_agree")
 
 
 def coherence(
@@ -162,7 +95,8 @@ def coherence(
     if method not in COHERENCE:
         raise ValueError(f"unknown coherence {method!r}; known: {', '.join(COHERENCE)}")
     unit = df.withColumn("_unit", V.l2_normalise(V.as_double(F.col(embedding))))
-    far = kth_neighbour(unit, neighbours=neighbours, key=key, embedding="_unit")
+    both = nearest(unit, neighbours=neighbours, key=key, embedding="_unit", kind=label, out="kth_distance")  # cut, so searched once
+    far = both.select(key, "kth_distance")
     base = cluster_sizes(df, label, "_size").join(far, key)
     limits = far.agg(F.percentile("kth_distance", isolation_quantile).alias("_limit"), F.percentile("kth_distance", 0.5).alias("_median"), F.count("*").alias("_pool"))
     base = base.join(F.broadcast(limits))  # one row
@@ -172,8 +106,7 @@ def coherence(
         value = V.clip(1.0 / (1.0 + F.col("kth_distance") / F.greatest("_median", F.lit(V.TINY))))
         isolated = beyond
     elif method == "neighbour_consistency":
-        agree = neighbour_agreement(unit, neighbours=neighbours, key=key, embedding="_unit", label=label)
-        base = base.join(agree, key, "left")
+        base = base.join(both.select(key, "_agree"), key, "left")
         others = F.least(F.lit(neighbours), F.col("_size") - 1).cast("double")
         value = F.when(alone, F.lit(singleton)).otherwise(V.clip(F.col("_agree") / F.nullif(others, F.lit(0.0))))
         isolated = alone | beyond

@@ -135,7 +135,7 @@ def novelty_blocked(spark, sf):
 
 @query(f"WITH {X.P_SQL}, {_NOV}, z AS ({sql_normalised('nov', 'nov', 'scaled', 'minmax')}) SELECT proposal_index, {sql_micro('scaled')} AS novelty FROM z")
 def novelty_minmax(spark, sf):
-    n = C.novelty(X.candidates(spark, sf), X.reference(spark, sf))
+    n = cut(C.novelty(X.candidates(spark, sf), X.reference(spark, sf)))  # read twice
     return R.normalise(n, "novelty", "scaled", "minmax").select("proposal_index", micro("scaled").alias("novelty"))
 
 
