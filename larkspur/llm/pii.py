@@ -50,6 +50,8 @@ CONFIDENCE, SUPPORT = 0.7, 3
 WORDS, SHARE, LEAST = 3, 0.5, 4
 #: Slots of the table in which tasks look contexts up; a power of two.
 SLOTS = 1 << 22
+#: What stands before the second word of contexts in that table; no context begins so.
+SECOND = {"left": "left2", "right": "right2"}
 #: What does not count at either end of a word.
 _EDGE = ".,;:!?()[]{}<>\"'`|*=-"
 _CHUNK = re.compile(r"\S+")
@@ -157,54 +159,83 @@ def seed_contexts(text: str, seeds: list[tuple[int, int]]) -> list[tuple[str, st
     return out
 
 
+class _Kept(dict):
+    """Values of fn, kept."""
+
+    def __init__(self, fn):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, key):
+        self[key] = value = self.fn(key)
+        return value
+
+
 class Contexts:
     """Word contexts to look for, as a table of fixed size, however many there are.
 
     A slot has the greatest worth of the contexts whose hash falls there, 0 for none. A context of several
-    words is looked for only where the nearer words alone have a worth; those above `least` are hits.
+    words is looked for only where the nearer words alone have a worth, and so have the nearest and the
+    second word on their own; those above `least` are hits.
     What shares a slot with another context may be a hit too, so exact counts must follow.
     """
 
     def __init__(self, worth: array, least: int = 0):
         self.worth, self.least, self.mask = worth, least, len(worth) - 1
         self.dropped: set[str] = set()
-        self.near: dict[str, tuple[int, ...]] = {}
+        self.near = _Kept(self._near)
+        self.second = {side: _Kept(lambda w, start=start: self(f"{start} {w}")) for side, start in SECOND.items()}
+        self.two = {side: _Kept(lambda ws, side=side: (self(p := f"{side} {ws[0]} {ws[1]}"), p)) for side in SECOND}
 
     def __call__(self, pattern: str) -> int:
         return self.worth[xxhash.xxh64_intdigest(pattern.encode(), 42) & self.mask]
 
+    def _near(self, w: str) -> tuple:
+        """Worths and patterns of the contexts that are this word alone; () if it is the nearest word of none."""
+        if not self(w):
+            return ()
+        p, q = "left " + w, "right " + w
+        left, right = self(p), self(q)
+        return (left, right, p, q) if left or right else ()
+
     def drop(self, pattern: str) -> None:
         self.dropped.add(pattern)
 
     def hits(self, ws: list[str]) -> list[tuple[int, str]]:
         """(word, pattern) of every word in a context."""
-        near = self.near
-        if new := set(ws).difference(near):
-            if len(near) > 1 << 20:
-                near.clear()
-                new = set(ws)
-            for w in new:
-                pair = self("left " + w), self("right " + w)
-                near[w] = pair if any(pair) else ()
+        for kept in (self.near, *self.second.values(), *self.two.values()):
+            if len(kept) > 1 << 19:
+                kept.clear()
+        (before, after), (left_two, right_two) = self.second.values(), self.two.values()
         out, last, least, dropped = [], len(ws) - 1, self.least, self.dropped
-        for i, worth in enumerate(map(near.__getitem__, ws)):
+        for i, worth in enumerate(map(self.near.__getitem__, ws)):
             if not worth:
                 continue
-            for side, to, value in (("left", i + 1, worth[0]), ("right", i - 1, worth[1])):
-                if not value or not 0 <= to <= last:
-                    continue
-                p, n = f"{side} {ws[i]}", 1
-                while value:
-                    if value > least and p not in dropped:
-                        out.append((to, p))
-                    n += 1
-                    begin, end = (i - n + 1, i + 1) if side == "left" else (i, i + n)
-                    if n > WORDS or begin < 0 or end > last + 1:
-                        break
-                    p = f"{side} {' '.join(ws[begin:end])}"
-                    value = self(p)
+            left, right, p, q = worth
+            if left and i < last:
+                if left > least and p not in dropped:
+                    out.append((i + 1, p))
+                if i and before[ws[i - 1]]:
+                    value, p = left_two[ws[i - 1], ws[i]]
+                    if value:
+                        self._longer(out, i + 1, value, p, ("left " + " ".join(ws[i - n + 1 : i + 1]) for n in range(3, min(WORDS, i + 1) + 1)))
+            if right and i:
+                if right > least and q not in dropped:
+                    out.append((i - 1, q))
+                if i < last and after[ws[i + 1]]:
+                    value, q = right_two[ws[i], ws[i + 1]]
+                    if value:
+                        self._longer(out, i - 1, value, q, ("right " + " ".join(ws[i : i + n]) for n in range(3, min(WORDS, last - i + 1) + 1)))
         return out
 
+    def _longer(self, out: list[tuple[int, str]], to: int, value: int, p: str, more: Iterator[str]) -> None:
+        while value:
+            if value > self.least and p not in self.dropped:
+                out.append((to, p))
+            if (p := next(more, "")) == "":
+                return
+            value = self(p)
+
 
 def _table(contexts: DataFrame, worth: Column, slots: int = SLOTS) -> array:
     """The table of Contexts from (pattern, ..), combined before it reaches the driver: at most `slots` numbers."""
@@ -212,10 +243,12 @@ def _table(contexts: DataFrame, worth: Column, slots: int = SLOTS) -> array:
     inner = F.when(side == "left", F.slice("w", F.size("w"), 1)).otherwise(F.slice("w", F.lit(2), F.lit(1)))
     middle = F.when(F.size("w") < 4, F.slice("w", F.lit(2), F.size("w") - 1)).when(side == "left", F.slice("w", F.lit(3), F.lit(2))).otherwise(F.slice("w", F.lit(2), F.lit(2)))
     rows = contexts.select(F.split("pattern", " ").alias("w"), "pattern", worth.cast("long").alias("worth"))
-    # the nearer words of a context lead to it
-    stems = F.array(F.struct("pattern", "worth"), *(F.struct(F.concat_ws(" ", side, x).alias("pattern"), F.lit(1).cast("long").alias("worth")) for x in (inner, middle)))
+    nearest = F.when(side == "left", F.element_at("w", -1)).otherwise(F.get("w", F.lit(1)))
+    second = F.when(F.size("w") > 2, F.when(side == "left", F.concat(F.lit(f"{SECOND['left']} "), F.get("w", F.size("w") - 2))).otherwise(F.concat(F.lit(f"{SECOND['right']} "), F.get("w", F.lit(2)))))
+    # the nearer words of a context lead to it, and so do its nearest word and its second, each on its own
+    stems = F.array(F.struct("pattern", "worth"), *(F.struct(F.concat_ws(" ", side, x).alias("pattern"), F.lit(1).cast("long").alias("worth")) for x in (inner, middle)), *(F.struct(x.alias("pattern"), F.lit(1).cast("long").alias("worth")) for x in (second, nearest)))
     slot = F.xxhash64("s.pattern").bitwiseAND(F.lit(slots - 1).cast("long"))
-    got = rows.select(F.explode(stems).alias("s")).groupBy(slot.alias("slot")).agg(F.least(F.max("s.worth"), F.lit((1 << 32) - 1)).alias("worth")).toArrow()
+    got = rows.select(F.explode(stems).alias("s")).where("s.pattern IS NOT NULL").groupBy(slot.alias("slot")).agg(F.least(F.max("s.worth"), F.lit((1 << 32) - 1)).alias("worth")).toArrow()
     if not len(got):
         return array("I")
     out = np.zeros(slots, dtype=np.uint32)
