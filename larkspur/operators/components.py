@@ -86,30 +86,32 @@ def neighbour_agreement(df: DataFrame, *, neighbours: int, key: str, embedding:
 
 
 def coherence(
-    df: DataFrame, method: str = "relative_within_cluster", *, neighbours: int = 5, singleton: float = 0.0, minimum_cluster: int = 3, isolation_quantile: float = 0.9, key: str = "proposal_index", embedding: str = "embedding", label: str = "pseudo_label", out: str = "coherence"
+    df: DataFrame, method: str = "relative_within_cluster", *, neighbours: int = 5, singleton: float = 0.0, minimum_cluster: int = 3, isolation_quantile: float = 0.9, key: str = "proposal_index", embedding: str = "embedding", label: str = "pseudo_label", out: str = "coherence", isolation: bool = True
 ) -> DataFrame:
     """df plus out, isolated and kth_distance (global), on unit vectors.
 
-    A pool of one row has the singleton value, is isolated and has distance 0.
+    A pool of one row has the singleton value, is isolated and has distance 0. Without isolation
+    the last two columns are left out; relative_within_cluster then compares rows of one label only.
     """
     if method not in COHERENCE:
         raise ValueError(f"unknown coherence {method!r}; known: {', '.join(COHERENCE)}")
     unit = df.withColumn("_unit", V.l2_normalise(V.as_double(F.col(embedding))))
-    both = nearest(unit, neighbours=neighbours, key=key, embedding="_unit", kind=label, out="kth_distance")  # cut, so searched once
-    far = both.select(key, "kth_distance")
-    base = cluster_sizes(df, label, "_size").join(far, key)
-    limits = far.agg(F.percentile("kth_distance", isolation_quantile).alias("_limit"), F.percentile("kth_distance", 0.5).alias("_median"), F.count("*").alias("_pool"))
+    base = cluster_sizes(df, label, "_size")
+    if isolation or method != "relative_within_cluster":
+        both = nearest(unit, neighbours=neighbours, key=key, embedding="_unit", kind=label, out="kth_distance")  # cut, so searched once
+        far = both.select(key, "kth_distance")
+        base = base.join(far, key)
+        limits = far.agg(F.percentile("kth_distance", isolation_quantile).alias("_limit"), F.percentile("kth_distance", 0.5).alias("_median"), F.count("*").alias("_pool"))
+    else:
+        limits = df.agg(F.count("*").alias("_pool"))
     base = base.join(F.broadcast(limits))  # one row
-    beyond = F.col("kth_distance") > F.col("_limit")
     alone = F.col("_size") <= 1
     if method == "density":
         value = V.clip(1.0 / (1.0 + F.col("kth_distance") / F.greatest("_median", F.lit(V.TINY))))
-        isolated = beyond
     elif method == "neighbour_consistency":
         base = base.join(both.select(key, "_agree"), key, "left")
         others = F.least(F.lit(neighbours), F.col("_size") - 1).cast("double")
         value = F.when(alone, F.lit(singleton)).otherwise(V.clip(F.col("_agree") / F.nullif(others, F.lit(0.0))))
-        isolated = alone | beyond
     else:
         inside = kth_neighbour(unit, neighbours=neighbours, key=key, embedding="_unit", label=label, out="_inside")
         base = base.join(inside, key)
@@ -118,9 +120,12 @@ def coherence(
         base = base.join(own, F.col(label) == F.col("_cl"), "left").join(F.broadcast(pooled))
         scale = F.greatest(F.when(F.col("_size") >= minimum_cluster, F.col("_own")).otherwise(F.col("_all")), F.lit(V.TINY))
         value = F.when(alone, F.lit(singleton)).otherwise(1.0 / (1.0 + F.col("_inside") / scale))
-        isolated = alone | beyond
     one = F.col("_pool") <= 1
-    return base.select(*df.columns, F.when(one, F.lit(singleton)).otherwise(value).cast("double").alias(out), (one | isolated).alias("isolated"), "kth_distance")
+    scored = F.when(one, F.lit(singleton)).otherwise(value).cast("double").alias(out)
+    if not isolation:
+        return base.select(*df.columns, scored)
+    beyond = F.col("kth_distance") > F.col("_limit")
+    return base.select(*df.columns, scored, (one | beyond if method == "density" else one | (alone | beyond)).alias("isolated"), "kth_distance")
 
 
 def kmeans_labels(df: DataFrame, *, clusters: int = 20, seed: int = 0, key: str = "proposal_index", embedding: str = "embedding", out: str = "pseudo_label", max_iter: int = 100) -> DataFrame:

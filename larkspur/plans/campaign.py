@@ -83,7 +83,7 @@ def run_round(spark: SparkSession, settings: Campaign, detector: Detector, at: R
         proposals = guard(detector.predict(checkpoint, pool))
         bank = detector.predict(checkpoint, reference)
         label = "predicted_label" if at.strategy.label_source == "predicted" else None
-        scored = S.score_proposals(proposals, bank, at.strategy, label=label, seed=at.seed)
+        scored = S.score_proposals(proposals, bank, at.strategy, label=label, seed=at.seed, isolation=False)
         images = _written(S.aggregate_images(scored, method=at.strategy.aggregation, top_k=at.strategy.top_k), f"{base}/image_scores")
         chosen = S.select_images(images, budget)
     selected = _written(chosen.select("image_id"), f"{base}/selected")

@@ -309,7 +309,7 @@ def sql_strategy(s: S.Strategy, label: str = "predicted_label") -> str:
 
 
 def run_strategy(spark, sf, s: S.Strategy, label: str = "predicted_label") -> DataFrame:
-    scored = S.score_proposals(X.candidates(spark, sf), X.reference(spark, sf), s, label=label)
+    scored = S.score_proposals(X.candidates(spark, sf), X.reference(spark, sf), s, label=label, isolation=False)  # which rows are isolated is in no image score
     return S.aggregate_images(scored, method=s.aggregation, top_k=s.top_k)
 
 
