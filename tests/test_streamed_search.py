@@ -78,3 +78,39 @@ def test_packed_rows_of_nulls_alone_and_of_other_lengths(spark, monkeypatch):
     odd = spark.createDataFrame([(1, [1.0]), (2, [1.0]), (3, [1.0, 2.0]), (4, [1.0, 2.0])], "k long, e array<double>")
     with pytest.raises(Exception, match="differ in length"):
         C.kth_neighbour(odd, key="k", embedding="e").collect()
+
+
+@pytest.mark.parametrize("label", [None, "label"])
+def test_several_packed_rows_in_a_task(spark, rows, label, monkeypatch):
+    for name, n in (("TASK_ROWS", 150), ("LEAST_ROWS", 150), ("CHUNK_ROWS", 20)):
+        monkeypatch.setattr(N, name, n)
+    df = spark.createDataFrame(rows, "k long, e array<double>, label long").repartition(4)
+    near = N.nearest(df, neighbours=5, key="k", embedding="e", label=label, kind=None if label else "label").collect()
+    want = brute(rows, 5, label=True) if label else brute(rows, 5)
+    assert {r["k"]: r["_kth"] for r in near} == {k: d for k, (d, _) in want.items()}
+    novel = C.novelty(df, df.where("label = 0"), embedding="e", out="n", block_rows=16)
+    plain = C.novelty(df, df.where("label = 0"), embedding="e", out="n", blocked=False)
+    assert sorted(novel.select("k", "n").collect()) == sorted(plain.select("k", "n").collect())
+
+
+def test_what_a_task_has_is_not_sent_to_it_again(spark, rows, monkeypatch):
+    for name, n in (("TASK_ROWS", 400), ("LEAST_ROWS", 400), ("CHUNK_ROWS", 40)):
+        monkeypatch.setattr(N, name, n)
+    sent, whole = spark.sparkContext.accumulator(0), type(spark.range(0)).mapInArrow
+
+    def counted(self, run, schema, *a):
+        def pairs(batches):
+            def seen():
+                for b in batches:
+                    if "_vectors" in b.schema.names and "vectors" in b.schema.names:
+                        sent.add(sum(len(x) for n in ("_vectors", "vectors") for x in b.column(b.schema.names.index(n)).to_pylist() if x))
+                    yield b
+
+            return run(seen())
+
+        return whole(self, pairs, schema, *a)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    df = spark.createDataFrame(rows, "k long, e array<double>, label long")
+    N.nearest(df, neighbours=5, key="k", embedding="e").count()
+    assert sent.value == 2 * len(rows) * 6 * 8  # one task: its own and each streamed vector once, of 10 x 10 pairs of packed rows
