@@ -114,3 +114,30 @@ def test_what_a_task_has_is_not_sent_to_it_again(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, "k long, e array<double>, label long")
     N.nearest(df, neighbours=5, key="k", embedding="e").count()
     assert sent.value == 2 * len(rows) * 6 * 8  # one task: its own and each streamed vector once, of 10 x 10 pairs of packed rows
+
+
+@pytest.mark.parametrize("few", [1, 100, 1 << 16])
+def test_pairs_of_several_products_are_merged_together(rows, few, monkeypatch):
+    for name, n in (("FEW", few), ("TILE", 37), ("FOLD", 10)):
+        monkeypatch.setattr(N, name, n)
+    rows = sorted(rows)
+    m, kinds = np.array([e for _, e, _ in rows]), np.array([lab for *_, lab in rows])
+    y, merged, merge = N._Side(m, np.zeros(len(m), np.int8)), [], N._Best._merge
+    monkeypatch.setattr(N._Best, "_merge", lambda self, *a: merged.append(0) or merge(self, *a))
+    best = N._Best(y, 0, 5)
+    best.see(np.arange(len(m)), y, y.wide(np.float32), 0, 0, len(m), kinds)
+    want = brute(rows, 5)
+    assert best.kth(np.full(len(m), len(m) - 1)).tolist() == [want[k][0] for k, *_ in rows]
+    assert (best.kind == kinds[:, None]).sum(axis=1).tolist() == [want[k][1] for k, *_ in rows]
+    assert len(merged) == 1 or few < 1 << 16
+
+
+def test_great_values_are_reached_by_k_columns():
+    g = np.random.default_rng(2).normal(size=(50, 700))
+    for k, n in ((1, 700), (5, 700), (5, 119), (5, 121), (5, 6)):
+        assert ((g[:, :n] >= N._great(g[:, :n], k)[:, None]).sum(axis=1) >= k).all()
+
+
+def test_half_as_many_tasks_read_all_packed_rows():
+    assert N._parts(100_000) == 24
+    assert N._parts(10 * 32_768 * 24) == 240
