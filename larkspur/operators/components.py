@@ -92,11 +92,12 @@ def coherence(
 
     A pool of one row has the singleton value, is isolated and has distance 0. Without isolation
     the last two columns are left out; relative_within_cluster then compares rows of one label only.
+    Keys, labels and distances are joined first, so df's other columns are moved once.
     """
     if method not in COHERENCE:
         raise ValueError(f"unknown coherence {method!r}; known: {', '.join(COHERENCE)}")
     unit = df.withColumn("_unit", V.l2_normalise(V.as_double(F.col(embedding))))
-    base = cluster_sizes(df, label, "_size")
+    base = cluster_sizes(df.select(key, label), label, "_size")
     if isolation or method != "relative_within_cluster":
         both = nearest(unit, neighbours=neighbours, key=key, embedding="_unit", kind=label, out="kth_distance")  # cut, so searched once
         far = both.select(key, "kth_distance")
@@ -122,10 +123,13 @@ def coherence(
         value = F.when(alone, F.lit(singleton)).otherwise(1.0 / (1.0 + F.col("_inside") / scale))
     one = F.col("_pool") <= 1
     scored = F.when(one, F.lit(singleton)).otherwise(value).cast("double").alias(out)
-    if not isolation:
-        return base.select(*df.columns, scored)
-    beyond = F.col("kth_distance") > F.col("_limit")
-    return base.select(*df.columns, scored, (one | beyond if method == "density" else one | (alone | beyond)).alias("isolated"), "kth_distance")
+    if isolation:
+        beyond = F.col("kth_distance") > F.col("_limit")
+        added = [scored, (one | beyond if method == "density" else one | (alone | beyond)).alias("isolated"), F.col("kth_distance")]
+    else:
+        added = [scored]
+    found = base.select(F.col(key).alias("_key"), *added)
+    return df.join(found, F.col(key) == F.col("_key")).drop("_key")
 
 
 def kmeans_labels(df: DataFrame, *, clusters: int = 20, seed: int = 0, key: str = "proposal_index", embedding: str = "embedding", out: str = "pseudo_label", max_iter: int = 100) -> DataFrame:
